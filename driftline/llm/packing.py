@@ -13,6 +13,7 @@ too; an empty table gives no rows; of further columns none is read.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,8 @@ from driftline.llm.shared import durable, slices, texts_of
 
 PIECES = "bucket int, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, local_rank bigint"
 #: Words whose ids a worker remembers; when full it starts anew. It bounds memory and has no part in the result.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+_WORKER: dict = {}
 
 
 class CapacityTree:
@@ -105,8 +107,17 @@ def _encoder(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json)
 
 
+def _worker(tokenizer_json: str) -> tuple:
+    """The tokenizer and the ids of words met so far; a worker process keeps them from task to task."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _WORKER:
+        _WORKER.clear()
+        _WORKER[key] = (_encoder(tokenizer_json), {}, {})
+    return _WORKER[key]
+
+
 def _ids(tokenizer, words: list[str]) -> list[bytes]:
-    return [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(words, add_special_tokens=False)]
+    return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
 #: Marks that the tokenizer never joins to a letter or digit before them.
@@ -126,17 +137,19 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, known, stems = _encoder(shipped.value), {}, {}
+        tokenizer, known, stems = _worker(shipped.value)
         bucket, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches, "text"):
             split = [(text or b"").split() for text in texts_of(batch, "text")]
-            new = {w for words in split for w in words if w not in known}
+            new = set().union(*split)
             if len(known) + len(new) > REMEMBERED:
-                known, new = {}, {w for words in split for w in words}
+                known.clear()
+            new.difference_update(known)
             cores = {w: _core(w) for w in new}
             parts = {p for core, tail in cores.values() for p in (core, tail) if p and p not in stems}
             if len(stems) + len(parts) > REMEMBERED:
-                stems, parts = {}, {p for both in cores.values() for p in both if p}
+                stems.clear()
+                parts = {p for both in cores.values() for p in both if p}
             parts = list(parts)
             for at in range(0, len(parts), 20_000):
                 some = parts[at : at + 20_000]
