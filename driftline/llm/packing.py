@@ -130,6 +130,11 @@ def _core(word: bytes) -> tuple[bytes, bytes]:
     return (core.lower(), word[len(core) :]) if core[-1:].isalnum() else (word, b"")
 
 
+def _lowered(text: bytes) -> bytes:
+    """The tokenizer lowers letters itself; done here first, fewer words are new. A special token's name keeps its case."""
+    return text if b"<|" in text else text.lower()
+
+
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) -> DataFrame:
     """One row for each piece. The tokenizer drops white space and joins nothing across it, so the ids of a text
     are those of its words (cut at ASCII white space) one after another, and a worker looks up words it has met."""
@@ -139,8 +144,8 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
     def run(batches):
         tokenizer, known, stems = _worker(shipped.value)
         bucket, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text"):
-            split = [(text or b"").split() for text in texts_of(batch, "text")]
+        for batch in slices(batches, "text", 8 << 20):
+            split = [_lowered(text or b"").split() for text in texts_of(batch, "text")]
             new = set().union(*split)
             if len(known) + len(new) > REMEMBERED:
                 known.clear()

@@ -53,7 +53,7 @@ def test_tree():
 
 
 def test_pieces_against_the_tokenizer(spark):
-    texts = ["", None, "The cat's mat.", "It's 1'000,5 x|y <|endoftext|>. É'S Ünïcode", "a b c  d\x1fe\x85f", "word " * 5000, "x" * 20000, "dup", "dup", "ﬁ Å Á. Σ. abc!!***", "<|endoftext|>a. b<|startoftext|>!!"]
+    texts = ["", None, "The cat's mat.", "It's 1'000,5 x|y <|endoftext|>. É'S Ünïcode", "a b c  d\x1fe\x85f", "word " * 5000, "x" * 20000, "dup", "dup", "ﬁ Å Á. Σ. abc!!***", "<|endoftext|>a. b<|startoftext|>!!", "A <|ENDOFTEXT|> b"]
     docs = spark.createDataFrame([(None if i == 7 else i, t, i) for i, t in enumerate(texts)], "doc_id bigint, text string, length int")
     got = pack(docs, PATH).collect()
     t = Tokenizer.from_file(PATH)
