@@ -49,6 +49,12 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"), every=50, k=5, scale=256)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from driftline.llm.substring import repeated_passages
+
+    return repeated_passages(_table(spark, sf_dir, "documents"), passage=50, similarity=0.8)
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.neardup import near_duplicates
 
@@ -68,7 +74,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_token_counts, op4_benchmark_decontamination, op5_quality_classifier, op6_exact_top_k, op8_minhash_near_dedup, op9_secret_scans, op10_pii_pseudonyms)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_url_filters, op3_token_counts, op4_benchmark_decontamination, op5_quality_classifier, op6_exact_top_k, op7_substring_dedup, op8_minhash_near_dedup, op9_secret_scans, op10_pii_pseudonyms)}
 
 
 OP6 = """

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
         n = batch.num_rows
         if not n:
             continue
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64))
         at = 0
         while at < n:
             done = int(ends[at - 1]) if at else 0
