@@ -130,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs:
     picked = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # the broadcast has train_docs rows at most
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             own = bags(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x >= 0.5 for x in batch.column("label").to_pylist()], pa.bool_()), pa.array([s.astype("<i4").tobytes() for s, _ in own], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in own], pa.binary())], names=["doc_id", "good", "slots", "counts"])
 
@@ -154,7 +154,7 @@ def with_score(docs: DataFrame, model: Model, keep: float | None = None) -> Data
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             score = shipped.value.score(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"]) if keep is None else batch.filter(pa.array(score >= keep))
 
