@@ -7,7 +7,7 @@ coordinates of two sketches is concentrated about the Jaccard similarity as with
 
 Texts of one and the same shingle set form a class (a 128-bit hash of the set), and one document stands for it.
 Classes that share a band are candidates. A bucket of m classes never gives all its m * (m - 1) / 2 pairs: in each
-round some of its classes are pivots (one, then two, four ...), each is compared with those of the bucket that are not yet in
+round some of its classes are pivots (one, then four, sixteen ...), each is compared with those of the bucket that are not yet in
 its component, and then leaves the bucket. Pairs are confirmed on their full shingle sets, found links merge
 components, and rounds go on until no bucket holds two components. So no candidate is left untested unless both
 are already known to be connected.
@@ -59,6 +59,46 @@ def band_keys(sketch: np.ndarray, rows: int = BAND_ROWS) -> np.ndarray:
     return mix(key).view(np.int64)
 
 
+BITS, SIGMAS = 1024, 5
+_BIT_COLUMNS = [f"b{k}" for k in range(BITS // 64)]
+
+
+def with_bits(bodies: DataFrame, n: int) -> DataFrame:
+    """id, text and a sketch of BITS coordinates, one bit of each: two texts of similarity s differ in (1 - s) / 2 of them."""
+    schema = "id bigint, text string, " + ", ".join(f"{b} bigint" for b in _BIT_COLUMNS)
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            rows = []
+            for text in texts_of(batch, "text"):
+                sketch = mix(fast_similarity_sketch(shingle_set(text, n), BITS)) >> np.uint64(63)
+                rows.append(np.packbits(sketch.astype(bool)).view(np.int64))
+            columns = np.array(rows, np.int64).reshape(batch.num_rows, -1).T
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *map(pa.array, columns)], names=["id", "text", *_BIT_COLUMNS])
+
+    return bodies.where("text is not null").mapInArrow(run, schema)
+
+
+def most_differing(percent: int) -> int:
+    """More bits than this don't differ between texts of the similarity, SIGMAS standard deviations allowed for."""
+    q = (1 - percent / 100) / 2
+    return int(BITS * q + SIGMAS * (BITS * q * (1 - q)) ** 0.5)
+
+
+def own_shingles(bodies: DataFrame, n: int) -> DataFrame:
+    """id, own: how many shingles of each text stand in no other. Counted over all bodies; what a batch holds twice is told apart there."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 8 << 20):
+            sets = [shingle_set(t, n) for t in texts_of(batch, "text")]
+            ids = np.repeat(np.array(batch.column("id").to_pylist(), np.int64), [len(x) for x in sets])
+            key, first, times = np.unique(np.concatenate(sets), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first], mask=times > 1)], names=["key", "id"])
+
+    once = bodies.mapInArrow(run, "key bigint, id bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("id"))
+    return once.where("n = 1 and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+
+
 ROWS = "doc_id bigint, n_shingles bigint, set_hi bigint, set_lo bigint, bands array<bigint>"
 
 
@@ -122,13 +162,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
     full = slots.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("key")
     members = slots.join(full, "key").join(labels.withColumnRenamed("node", "id"), "id", "left")
     members = durable(members.select("key", "id", "size", F.coalesce("component", "id").alias("component")))
-    bodies = durable(docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    bodies = docs.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("id"), "text")
+    bodies = durable(with_bits(bodies.where(F.length(F.trim("text")) > 0), n))
+    several = classes.groupBy("id").count().where("count > 1")
+    own = own_shingles(bodies.select("id", "text"), n).join(several, "id", "left_anti")
+    bits = bodies.join(several, "id", "left_anti").select("id", *_BIT_COLUMNS).join(classes.select("id"), "id", "left_semi").groupBy("id").agg(*[F.min(b).alias(b) for b in _BIT_COLUMNS])
+    known = durable(bits.join(own, "id", "left"))
+    members = members.join(known, "id", "left").select("key", "id", "size", F.coalesce("own", F.lit(0)).alias("own"), *_BIT_COLUMNS, "component")
+    members = durable(members.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent))  # the others can't have a link
     tested, step = None, 0
     while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(step, 20)))
-        pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("id", "size", "component")).alias("p")).select("key", "p.*"))
+        slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(2 * step, 20)))
+        pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("own", "id", "size", "component", *_BIT_COLUMNS)).alias("p")).select("key", "p.*"))
         met = members.alias("m").join(pivots.alias("p"), "key").where("m.component <> p.component and m.id <> p.id")
-        met = met.where(F.least("m.size", "p.size") * 100 >= F.greatest("m.size", "p.size") * percent)
+        most = F.least(F.col("m.size") - F.col("m.own"), F.col("p.size") - F.col("p.own"))  # shingles that they can share
+        met = met.where(most * 100 >= (F.col("m.size") + F.col("p.size") - most) * percent)
+        differing = sum((F.bit_count(F.col(f"m.{b}").bitwiseXOR(F.col(f"p.{b}"))) for b in _BIT_COLUMNS), F.lit(0))
+        met = met.where(F.coalesce(differing, F.lit(0)) <= most_differing(percent))
         met = met.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
         pairs = durable(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
         tested = pairs if tested is None else tested.union(pairs)
@@ -142,7 +192,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
             labels = durable(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
         rest = members.join(pivots.select("key", "id"), ["key", "id"], "left_anti")
         if linked:
-            rest = rest.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
+            rest = rest.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "own", *_BIT_COLUMNS, F.coalesce("component", "id").alias("component"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         members, step = durable(rest.join(open_, "key")), step + 1
 
