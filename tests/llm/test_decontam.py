@@ -1,0 +1,59 @@
+import itertools
+import random
+
+from driftline.llm.decontam import MASKS, WINDOW, Block, blocks, clean, contaminated, overlap, words_of
+
+
+def brute(docs, items):
+    out = set()
+    for d, t in docs:
+        a = words_of(t.encode() if t else None)
+        for i, u in items:
+            b = words_of(u.encode() if u else None)
+            if len(b) >= 5 and any(overlap(a, b, s) for s in range(-len(b), len(a) + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_masks_meet_every_window_with_three_substitutions():
+    for bad in itertools.combinations(range(WINDOW), 3):
+        assert any(all(at + k not in bad for k, bit in enumerate(m) if bit == "1") for m in MASKS for at in range(WINDOW - len(m) + 1))
+
+
+def case():
+    r = random.Random(1)
+    prose = lambda n: [r.choice(("the", "of", "and", f"w{r.randint(0, 5000)}")) for _ in range(n)]
+    items = [(k, " ".join(prose(r.randint(15, 60)))) for k in range(20)] + [(20, "five words are just enough"), (21, "too few here"), (22, None), (23, ""), (None, " ".join(prose(30))), (5, " ".join(prose(20)))]
+    docs = []
+    for k in range(120):
+        words = prose(r.randint(0, 200))
+        if k % 3 == 0:
+            own = (r.choice(items)[1] or "").split()
+            for _ in range(r.randint(0, len(own) // 4)):
+                own[r.randrange(len(own))] = "changed"
+            words[len(words) // 2 : len(words) // 2] = own[r.randint(0, 4) :]
+        text = " ".join(words)
+        docs.append((k, text.upper() if k % 5 == 0 else text.replace(" ", ", ") if k % 7 == 0 else text))
+    return docs + [(300, None), (301, ""), (302, "x" * 20000), (0, docs[3][1]), (None, items[3][1])], items
+
+
+def test_against_every_alignment(spark, documents):
+    docs, items = case()
+    bench = spark.createDataFrame([(i, t, 0) for i, t in items], "item_id bigint, text string, doc_id int")
+    got = {(r.doc_id, r.item_id) for r in contaminated(documents(docs), bench).collect()}
+    assert got == brute(docs, items)
+    assert {i for _, i in got} & {20, 21, 22, 23} <= {20}
+    bad = [any(overlap(words_of(t.encode() if t else None), words_of(u.encode() if u else None), s) for _, u in items if u and len(words_of(u.encode())) >= 5 for s in range(-60, len((t or "").split()) + 1)) for _, t in docs]
+    kept = clean(documents(docs), bench)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for (i, t), b in zip(docs, bad, strict=True) if not b)
+    assert kept.columns == documents(docs).columns
+
+
+def test_blocks_and_empty(spark, documents):
+    docs, items = case()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    many = blocks(bench, block_words=100)
+    assert len(many) > 3 and sum(len(b.value.items) for b in many) == len(Block([(i, (t or "").encode()) for i, t in items]).items)
+    assert contaminated(documents([]), bench).count() == 0
+    assert contaminated(documents(docs), bench.limit(0)).count() == 0
+    assert clean(documents(docs), bench.limit(0)).count() == len(docs)
