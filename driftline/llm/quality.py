@@ -64,7 +64,9 @@ def features(texts: list[bytes | None]):
         word = np.add.reduceat((blob[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place % 4096], np.cumsum(ends - starts) - (ends - starts))
         word = (word ^ (word >> np.uint64(32))).astype(np.uint32)
         yield _slot(word, 1), starts
-        yield _slot(word[1:] ^ word[:-1], 9), starts[1:]
+        owner = np.searchsorted(begin, starts, side="right")
+        beside = owner[1:] == owner[:-1]
+        yield _slot(word[1:] ^ word[:-1], 9)[beside], starts[1:][beside]
 
 
 def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:

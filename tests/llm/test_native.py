@@ -1,0 +1,115 @@
+import datetime
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from driftline.llm import pii, secrets
+
+KEY = "k"
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.learn(spark)
+
+
+def test_no_python_on_the_main_path(spark, documents):
+    docs = documents([(1, "x")])
+    for df in (secrets.find_secrets(docs), secrets.redact(docs), pii.pseudonymised(docs, KEY), pii.rewrite(docs, KEY)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_forest_in_sql_is_the_forest(spark, forest):
+    rows = secrets.labelled_findings(200, seed=77)
+    df = spark.createDataFrame([(r["value"], r["before"], r["after"], r["secret"]) for r in rows], "value string, before string, after string, secret boolean")
+    numbers = secrets.numbers(F.col("value"), F.col("before"), F.col("after"))
+    got = df.select("secret", F.array(*numbers).alias("x"), forest.chance(numbers).alias("p")).collect()
+    assert all(abs(forest.predict(r.x) - r.p) < 1e-12 for r in got)
+    assert sum((r.p >= 0.5) == r.secret for r in got) / len(got) > 0.95
+
+
+def test_planted_secrets(documents):
+    hexa = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [
+        (1, f'some prose token = "{hexa}" and on'), (2, f'TOKEN = "{hexa.upper()}"!! MORE'), (3, None), (4, ""), (5, "plain prose of no interest"),
+        (6, "card 4417744280351547 and +1 (974) 555-3436"), (7, f"see commit {hexa} for details"), (8, "id: 123e4567-e89b-12d3-a456-426614174000"),
+        (9, 'api_key = "your_api_key_here_123"'), (10, f'a token = "{hexa}" b token = "{hexa}" c'), (11, "-----BEGIN RSA PRIVATE KEY-----\nMIIE"), (None, f'token = "{hexa}"'), (1, f'some prose token = "{hexa}" and on'), (12, "x1" * 30000),
+    ]
+    docs = documents(rows)
+    got = secrets.find_secrets(docs).collect()
+    assert sorted((r.doc_id or 0, r.finding) for r in got if r.doc_id != 12) == [(0, 0), (1, 0), (1, 0), (2, 0), (10, 0), (10, 1), (11, 0)]
+    out = secrets.redact(docs).collect()
+    assert len(out) == len(rows) and all(hexa not in (r.text or "") or r.doc_id == 7 for r in out)
+    assert {r.doc_id: r.text for r in out}[1] == 'some prose token = "[SECRET]" and on'
+    assert all(r.n_chars == (len(r.text) if r.text is not None else None) for r in out)
+    assert secrets.find_secrets(documents([])).count() == 0
+
+
+def pseudonyms(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string").select("v", pii.pseudonym(F.col("v"), KEY).alias("p"))
+    return {r.v: r.p for r in df.collect()}
+
+
+def luhn(s):
+    d = [int(c) for c in reversed(s) if c.isdigit()]
+    return sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d)) % 10
+
+
+def test_each_domain_is_permuted(spark):
+    r = random.Random(3)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    day = lambda: datetime.date(1900, 1, 1) + datetime.timedelta(r.randrange(72900))
+    forms = {
+        "number": [digits(16) for _ in range(150)] + [f"{digits(4)} {digits(4)}-{digits(4)} {digits(4)}" for _ in range(20)] + [digits(13), digits(19)],
+        "phone": [f"+1 ({digits(3)}) 555-{digits(4)}" for _ in range(100)],
+        "ip": [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(100)],
+        "ssn": [f"{r.choice([*range(1, 666), *range(667, 900)]):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}" for _ in range(100)],
+        "date_iso": [day().isoformat() for _ in range(100)] + ["1900-01-01", "2099-08-05"],
+        "date_dot": [day().strftime("%d.%m.%Y") for _ in range(30)],
+        "date_slash": [day().strftime("%d/%m/%Y") for _ in range(30)],
+        "email": [f"{''.join(r.choice('abcXYZ09._') for _ in range(6))}@mail{r.randrange(3)}.example.com" for _ in range(100)],
+    }
+    for kind, values in forms.items():
+        values = sorted(set(values))
+        got = pseudonyms(spark, values)
+        pattern = dict(pii.FORMS)[kind]
+        assert sum(got[v] != v for v in values) >= 0.98 * len(values), kind
+        assert len(set(got.values())) == len(values), kind
+        for v, p in got.items():
+            assert re.sub(r"[0-9]", "9", v) == re.sub(r"[0-9]", "9", p) or kind in ("ip", "email"), (kind, v, p)
+            assert kind == "email" or re.fullmatch(pattern, p), (kind, v, p)
+            if kind == "number":
+                assert (luhn(v) == 0) == (luhn(p) == 0)
+            if kind.startswith("date"):
+                datetime.datetime.strptime(p, {"date_iso": "%Y-%m-%d", "date_dot": "%d.%m.%Y", "date_slash": "%d/%m/%Y"}[kind])
+            if kind == "email":
+                assert v.split("@")[1] == p.split("@")[1] and [c.isdigit() for c in v] == [c.isdigit() for c in p]
+
+
+def test_a_small_domain_whole(spark):
+    pairs = spark.range(35).select(F.floor(F.col("id") / 7).alias("a"), (F.col("id") % 7).alias("b"))
+    got = pairs.select(pii.feistel(F.col("a"), F.col("b"), 5, 7, KEY, "t").alias("s")).select("s.*").collect()
+    assert sorted((r.a, r.b) for r in got) == [(a, b) for a in range(5) for b in range(7)]
+
+
+def test_what_does_not_validate_stays(spark):
+    for v in ("000-12-3456", "666-12-3456", "123-00-3456", "2024-02-30", "1850-01-01", "31/02/2024"):
+        assert pseudonyms(spark, [v])[v] == v
+
+
+def test_texts(documents):
+    a, b = "call +1 (974) 555-3436 or mail nt.26@mail7.example.com. 9807915762804490!", "+1 (974) 555-3436; from 129.38.82.176"
+    rows = [(1, a), (2, b), (3, None), (4, ""), (5, "nothing 12 to 345 see"), (None, b), (1, a), (6, "4" * 40), (7, "9" * 100000), (8, b + " x" * 30000)]
+    docs = documents(rows)
+    got = pii.pseudonymised(docs, KEY).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "8", "None"]
+    texts = {r.doc_id: r.text for r in got}
+    assert not any(x in t for t in texts.values() for x in ("974) 555-3436", "nt.26@", "9807915762804490", "129.38.82.176"))
+    phone = texts[1].split("call ")[1][:17]
+    assert texts[2].startswith(phone) and texts[8].startswith(phone) and texts[1].endswith("!")
+    out = pii.rewrite(docs, KEY)
+    assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()}[5] == rows[4][1]
+    assert pii.pseudonymised(documents([]), KEY).count() == 0
