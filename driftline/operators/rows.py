@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,21 +48,32 @@ def indexed(df: DataFrame, order_by: list[str] | None = None, name: str = INDEX)
     """df with a dense row number from 0, by `order_by` or by place in the files it was read from.
 
     By key: a range partitioning sorts it, and each partition's rows are numbered from the count of those before it.
-    By file: the file's rows are numbered from the count of the files before it, in order of their paths; no shuffle.
+    By file: each block of a file, read by a task in one go, is numbered from the count of those before it, in order of
+    path and place; no shuffle of rows. Filters are fine; what moves rows between tasks is noticed and refused.
     """
     if order_by:
         ordered = df.repartitionByRange(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by]).sortWithinPartitions(*[F.col(f"`{c}`").asc_nulls_first() for c in order_by])
         placed = materialised(ordered.withColumn("__at", F.monotonically_increasing_id()))
         part, local = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    elif (placed := _select(df, "_metadata.file_path", "_metadata.file_block_start")) is not None:
+        placed = placed.withColumn("__at", F.concat_ws(":", "__at", F.lpad(F.col("__local").cast("string"), 20, "0"))).withColumn("__local", F.monotonically_increasing_id())
+        part, local = F.col("__at"), F.col("__local") - F.col("__first")
     else:
-        try:
-            placed = df.select("*", F.col("_metadata.file_path").alias("__at"), F.col("_metadata.row_index").alias("__local"))
-        except Exception as e:
-            raise SchemaError("these rows have no order: name the columns to order by, or read them from Parquet") from e
-        part, local = F.col("__at"), F.col("__local")
-    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # a row for each partition or file
-    before = counts.select("__part", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return placed.withColumn("__part", part).join(before, "__part").withColumn(name, local + F.col("__before")).drop("__part", "__at", "__local", "__before")
+        raise SchemaError("these rows have no order: name the columns to order by, or read them from files")
+    first, last = (F.min("__local"), F.max("__local")) if not order_by else (F.lit(0), F.lit(0))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"), first.alias("__first"), last.alias("__last"))  # a row for each partition or block
+    gap = F.col("__last") - F.col("__first") + 1 != F.col("__n")
+    counts = counts.withColumn("__first", F.when(gap, F.raise_error(F.lit("rows no longer lie as in their files: name the columns to order by")).cast("bigint")).otherwise(F.col("__first"))) if not order_by else counts
+    before = counts.select("__part", "__first", (F.sum("__n").over(W.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return placed.withColumn("__part", part).join(before, "__part").withColumn(name, local + F.col("__before")).drop("__part", "__at", "__local", "__before", "__first")
+
+
+def _select(df: DataFrame, at: str, local: str) -> DataFrame | None:
+    """df with two fields of its files' metadata, None if it has none such."""
+    try:
+        return df.select("*", F.col(at).alias("__at"), F.col(local).alias("__local"))
+    except AnalysisException:
+        return None
 
 
 def running_sums(counts: DataFrame, by: list[str], value: str, sums: list[str]) -> DataFrame:
