@@ -23,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import durable, slices, texts_of
+from driftline.llm.shared import durable, held, slices, texts_of
 
 PIECES = "bucket int, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, local_rank bigint"
 #: Words whose ids a worker remembers; when full it starts anew. It bounds memory and has no part in the result.
-REMEMBERED, LONGEST = 800_000, 64
-_WORKER: dict = {}
+REMEMBERED, LONGEST = 600_000, 64
 
 
 class CapacityTree:
@@ -107,15 +106,6 @@ def _encoder(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json)
 
 
-def _worker(tokenizer_json: str) -> tuple:
-    """The tokenizer and the ids of words met so far; a worker process keeps them from task to task."""
-    key = zlib.crc32(tokenizer_json.encode())
-    if key not in _WORKER:
-        _WORKER.clear()
-        _WORKER[key] = (_encoder(tokenizer_json), {}, {})
-    return _WORKER[key]
-
-
 def _ids(tokenizer, words: list[str]) -> list[bytes]:
     return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
@@ -138,13 +128,13 @@ def _lowered(text: bytes) -> bytes:
 def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) -> DataFrame:
     """One row for each piece. The tokenizer drops white space and joins nothing across it, so the ids of a text
     are those of its words (cut at ASCII white space) one after another, and a worker looks up words it has met."""
-    shipped = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
+    shipped, key = docs.sparkSession.sparkContext.broadcast(tokenizer_json), zlib.crc32(tokenizer_json.encode())
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, known, stems = _worker(shipped.value)
+        tokenizer, known, stems = held(("packing", key), lambda: (_encoder(shipped.value), {}, {}))
         bucket, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 6 << 20, holding=True):
             split = [_lowered(text or b"").split() for text in texts_of(batch, "text")]
             new = set().union(*split)
             if len(known) + len(new) > REMEMBERED:

@@ -98,8 +98,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
 
 
-def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
-    """Stochastic gradient descent over (slots, counts, label), one document a step, the rate falling to zero."""
+def train(samples: list[tuple[bytes, bytes, int]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> Model:
+    """Stochastic gradient descent over (slots as 16-bit numbers, counts as 32-bit floats, label), one document a step, the rate
+    falling to zero."""
     if not samples:
         return Model(np.zeros(SLOTS), 0.0)
     rng = np.random.default_rng(seed)
@@ -108,8 +109,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCH
     step, steps = 0, epochs * len(samples)
     for _ in range(epochs):
         for i in rng.permutation(len(samples)):
-            slots, counts, label = samples[i]
-            share = (counts / max(1, counts.sum())).astype(np.float32)
+            slots, counts, label = np.frombuffer(samples[i][0], "<u2"), np.frombuffer(samples[i][1], "<f4"), samples[i][2]
+            share = counts / max(np.float32(1), counts.sum())
             mean = share @ vectors[slots]
             z = out @ mean + bias
             p = np.exp(z - z.max())
@@ -134,10 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_docs:
     def run(batches):
         for batch in slices(batches, "text", 1 << 20):
             own = bags(texts_of(batch, "text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x >= 0.5 for x in batch.column("label").to_pylist()], pa.bool_()), pa.array([s.astype("<i4").tobytes() for s, _ in own], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in own], pa.binary())], names=["doc_id", "good", "slots", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x >= 0.5 for x in batch.column("label").to_pylist()], pa.bool_()), pa.array([s.astype("<u2").tobytes() for s, _ in own], pa.binary()), pa.array([n.astype("<f4").tobytes() for _, n in own], pa.binary())], names=["doc_id", "good", "slots", "counts"])
 
-    rows = sorted(picked.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, good boolean, slots binary, counts binary").collect())  # at most train_docs rows of SLOTS numbers
-    return train([(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["counts"], "<i4"), int(r["good"])) for r in rows])
+    rows = picked.select("doc_id", "label", "text").mapInArrow(run, "doc_id bigint, good boolean, slots binary, counts binary").collect()  # at most train_docs rows of SLOTS numbers
+    return train([(bytes(r["slots"]), bytes(r["counts"]), int(r["good"])) for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def held_out(doc_id):

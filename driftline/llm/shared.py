@@ -48,13 +48,22 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow with batches cut small enough that very long texts don't meet in one batch."""
-    return df.mapInArrow(function, schema)
+_HELD: dict = {}
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about `limit` bytes of text, or one row."""
+def held(owner, make):
+    """What a worker process keeps from task to task for one owner at a time; the next owner's first task frees it."""
+    if owner not in _HELD:
+        _HELD.clear()
+        _HELD[owner] = make()
+    return _HELD[owner]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20, holding: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about `limit` bytes of text, or one row: so very long texts don't meet in one.
+    Unless the caller holds something itself, what the worker kept for another is freed."""
+    if not holding:
+        _HELD.clear()
     for batch in batches:
         n = batch.num_rows
         if not n:

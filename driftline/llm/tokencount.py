@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import slices, texts_of
+from driftline.llm.shared import held, slices, texts_of
 
 MARK, BYTE_SCORE = "▁", -15_000_000
 REMEMBERED, LONGEST = 600_000, 64
 SCHEMA = "doc_id bigint, n_pretokens bigint, n_tokens bigint"
-_WORKER: dict = {}
 
 
 def vocabulary(path: str) -> list[str]:
@@ -76,10 +75,8 @@ def count_tokens(docs: DataFrame, pieces: list[str]) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(pieces)  # a vocabulary: its size is a parameter, not the data's
 
     def run(batches):
-        if _WORKER.get("key") != key:
-            _WORKER.update(key=key, forward=Forward(shipped.value), known={})
-        forward, known = _WORKER["forward"], _WORKER["known"]
-        for batch in slices(batches, "text"):
+        forward, known = held(("tokencount", key), lambda: (Forward(shipped.value), {}))
+        for batch in slices(batches, "text", holding=True):
             split = [(t or b"").split() for t in texts_of(batch, "text")]
             new = set().union(*split)
             if len(known) + len(new) > REMEMBERED:
