@@ -9,7 +9,7 @@ Texts of one and the same shingle set form a class (a 128-bit hash of the set),
 Classes that share a band are candidates. A bucket of m classes never gives all its m * (m - 1) / 2 pairs: in each
 round some of its classes are pivots (one, then four, sixteen ...), each is compared with those of the bucket that are not yet in
 its component, and then leaves the bucket. Pairs are confirmed on their full shingle sets, found links merge
-components, and rounds go on until no bucket holds two components. So no candidate is left untested unless both
+components, and rounds go on until no bucket holds two components. Classes that share several buckets meet in one of them. So no candidate is left untested unless both
 are already known to be connected.
 
 Defined results: a null or wordless text has no shingles and no links by its text; rows that share a doc_id are
@@ -168,20 +168,21 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
     own = own_shingles(bodies.select("id", "text"), n).join(several, "id", "left_anti")
     bits = bodies.join(several, "id", "left_anti").select("id", *_BIT_COLUMNS).join(classes.select("id"), "id", "left_semi").groupBy("id").agg(*[F.min(b).alias(b) for b in _BIT_COLUMNS])
     known = durable(bits.join(own, "id", "left"))
-    members = members.join(known, "id", "left").select("key", "id", "size", F.coalesce("own", F.lit(0)).alias("own"), *_BIT_COLUMNS, "component")
+    keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a key for each band at most
+    members = members.join(known, "id", "left").join(keys, "id").select("key", "id", "size", F.coalesce("own", F.lit(0)).alias("own"), *_BIT_COLUMNS, "keys", "component")
     members = durable(members.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent))  # the others can't have a link
-    tested, step = None, 0
+    step = 0
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(2 * step, 20)))
-        pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("own", "id", "size", "component", *_BIT_COLUMNS)).alias("p")).select("key", "p.*"))
+        pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("own", "id", "size", "component", *_BIT_COLUMNS, "keys")).alias("p")).select("key", "p.*"))
         met = members.alias("m").join(pivots.alias("p"), "key").where("m.component <> p.component and m.id <> p.id")
         most = F.least(F.col("m.size") - F.col("m.own"), F.col("p.size") - F.col("p.own"))  # shingles that they can share
         met = met.where(most * 100 >= (F.col("m.size") + F.col("p.size") - most) * percent)
         differing = sum((F.bit_count(F.col(f"m.{b}").bitwiseXOR(F.col(f"p.{b}"))) for b in _BIT_COLUMNS), F.lit(0))
         met = met.where(F.coalesce(differing, F.lit(0)) <= most_differing(percent))
+        met = met.where(F.array_min(F.array_intersect("m.keys", "p.keys")) == F.col("key"))  # of the buckets that two share, the first is theirs
         met = met.select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b")).distinct()
-        pairs = durable(met if tested is None else met.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else tested.union(pairs)
+        pairs = durable(met)
         links = durable(confirmed(pairs, bodies, n, percent))
         linked = not links.isEmpty()
         if linked:  # components of components
@@ -192,7 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
             labels = durable(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
         rest = members.join(pivots.select("key", "id"), ["key", "id"], "left_anti")
         if linked:
-            rest = rest.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "own", *_BIT_COLUMNS, F.coalesce("component", "id").alias("component"))
+            rest = rest.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "own", *_BIT_COLUMNS, "keys", F.coalesce("component", "id").alias("component"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         members, step = durable(rest.join(open_, "key")), step + 1
 
