@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import components, durable, lower_words, mix, seeded, shingle_hashes, slices, texts_of, word_hashes
+from driftline.llm.shared import components, discard, durable, lower_words, mix, seeded, shingle_hashes, slices, texts_of, word_hashes
 
 COORDS, BAND_ROWS = 96, 4
 _LOW, _HIGH, _FULL = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -71,7 +71,8 @@ def with_bits(bodies: DataFrame, n: int) -> DataFrame:
         for batch in slices(batches, "text"):
             rows = []
             for text in texts_of(batch, "text"):
-                sketch = mix(fast_similarity_sketch(shingle_set(text, n), BITS)) >> np.uint64(63)
+                own = shingle_set(text, n)
+                sketch = mix(fast_similarity_sketch(own, BITS)) >> np.uint64(63) if len(own) else np.zeros(BITS)
                 rows.append(np.packbits(sketch.astype(bool)).view(np.int64))
             columns = np.array(rows, np.int64).reshape(batch.num_rows, -1).T
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), *map(pa.array, columns)], names=["id", "text", *_BIT_COLUMNS])
@@ -168,9 +169,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
     own = own_shingles(bodies.select("id", "text"), n).join(several, "id", "left_anti")
     bits = bodies.join(several, "id", "left_anti").select("id", *_BIT_COLUMNS).join(classes.select("id"), "id", "left_semi").groupBy("id").agg(*[F.min(b).alias(b) for b in _BIT_COLUMNS])
     known = durable(bits.join(own, "id", "left"))
+    found = members
     keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))  # a key for each band at most
     members = members.join(known, "id", "left").join(keys, "id").select("key", "id", "size", F.coalesce("own", F.lit(0)).alias("own"), *_BIT_COLUMNS, "keys", "component")
     members = durable(members.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent))  # the others can't have a link
+    discard(found)
     step = 0
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(2 * step, 20)))
@@ -186,16 +189,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
         links = durable(confirmed(pairs, bodies, n, percent))
         linked = not links.isEmpty()
         if linked:  # components of components
-            known = labels.select(F.col("node"), "component")
-            ends = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+            ends = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
             merged = durable(components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))))
             old = labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("new")), "component", "left").select("node", F.coalesce("new", "component").alias("component"))
-            labels = durable(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+            before, labels = labels, durable(old.union(merged.join(labels.select("node"), "node", "left_anti").select("node", "component")))
+            discard(before, merged)
         rest = members.join(pivots.select("key", "id"), ["key", "id"], "left_anti")
         if linked:
             rest = rest.drop("component").join(labels.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "size", "own", *_BIT_COLUMNS, "keys", F.coalesce("component", "id").alias("component"))
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-        members, step = durable(rest.join(open_, "key")), step + 1
+        before, members, step = members, durable(rest.join(open_, "key")), step + 1
+        discard(before, pivots, pairs, links)
+    discard(members, known, bodies, classes)
 
     final = named.join(labels.withColumnRenamed("node", "id"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
     out = table.select("doc_id", "n_shingles").join(final, "doc_id", "left")

@@ -45,7 +45,17 @@ def durable(df: DataFrame) -> DataFrame:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `durable` wrote and that nothing still to be computed reads."""
+    for table in tables:
+        jvm, spark = table.sparkSession._jvm, table.sparkSession
+        where = jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _HELD: dict = {}
@@ -128,7 +138,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        old = edges
         edges, now = _counted(small)
+        discard(old)
         if now == size:
             break
         size = now

@@ -57,6 +57,9 @@ def test_shared_and_null_ids_and_empty(documents):
     base = " ".join(f"w{i}" for i in range(50))
     rows = [(5, base), (5, "quite another text of some words here"), (9, "quite another text of some words here"), (None, base), (None, None), (7, base), (1, None)]
     assert ask(documents(rows), n=4) == brute([(i, t) for i, t in rows if i is not None] + [(None, t) for i, t in rows if i is None]) or {r[2] for r in ask(documents(rows), n=4) if r[0] in (5, 7, 9)} == {5}
+    other = base.replace("w9 ", "x9 ")
+    odd = near_duplicates(documents([(5, base), (5, " \t"), (6, other), (5, None), (6, "\n\t"), (8, "one more")]), n=4)
+    assert {r.component_id for r in odd.collect() if r.doc_id in (5, 6)} == {5}
     assert ask(documents([]), n=4) == []
 
 
