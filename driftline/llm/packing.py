@@ -27,7 +27,7 @@ from driftline.llm.shared import durable, held, slices, texts_of
 
 PIECES = "bucket int, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, local_rank bigint"
 #: Words whose ids a worker remembers; when full it starts anew. It bounds memory and has no part in the result.
-REMEMBERED, LONGEST = 600_000, 64
+REMEMBERED, LONGEST = 800_000, 64
 
 
 class CapacityTree:
@@ -110,16 +110,10 @@ def _ids(tokenizer, words: list[str]) -> list[bytes]:
     return [array("I", x.ids).tobytes() for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
-#: Marks that the tokenizer never joins to a letter or digit before them.
+#: Marks that the tokenizer never joins to a letter or digit before them: ids of a word that ends so are those of the rest, then theirs.
 TAIL = b".,!?;:|#$%&*"
 
 
-def _core(word: bytes) -> tuple[bytes, bytes]:
-    """A word without its closing marks, and these: their ids follow one another. So far fewer words are new."""
-    core = word.rstrip(TAIL)
-    return (core.lower(), word[len(core) :]) if core[-1:].isalnum() else (word, b"")
-
-
 def _lowered(text: bytes) -> bytes:
     """The tokenizer lowers letters itself; done here first, fewer words are new. A special token's name keeps its case."""
     return text if b"<|" in text else text.lower()
@@ -132,7 +126,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        tokenizer, known, stems = held(("packing", key), lambda: (_encoder(shipped.value), {}, {}))
+        tokenizer, known = held(("packing", key), lambda: (_encoder(shipped.value), {}))
         bucket, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in slices(batches, "text", 6 << 20, holding=True):
             split = [_lowered(text or b"").split() for text in texts_of(batch, "text")]
@@ -140,17 +134,13 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
             if len(known) + len(new) > REMEMBERED:
                 known.clear()
             new.difference_update(known)
-            cores = {w: _core(w) for w in new}
-            parts = {p for core, tail in cores.values() for p in (core, tail) if p and p not in stems}
-            if len(stems) + len(parts) > REMEMBERED:
-                stems.clear()
-                parts = {p for both in cores.values() for p in both if p}
+            tailed = {w: core for w in new if len(core := w.rstrip(TAIL)) < len(w) and core[-1:].isalnum()}
+            parts = new.difference(tailed).union(tailed.values(), (w[len(core) :] for w, core in tailed.items())).difference(known)
             parts = list(parts)
             for at in range(0, len(parts), 20_000):
                 some = parts[at : at + 20_000]
-                stems.update(zip(some, _ids(tokenizer, [w.decode() for w in some]), strict=True))
-            stems[b""] = b""
-            known.update((w, stems[core] + stems[tail]) for w, (core, tail) in cores.items())
+                known.update(zip(some, _ids(tokenizer, [w.decode() for w in some]), strict=True))
+            known.update((w, known[core] + known[w[len(core) :]]) for w, core in tailed.items())
             out = []
             for doc_id, words in zip(batch.column("doc_id").to_pylist(), split, strict=True):
                 ids = b"".join(map(known.__getitem__, words)) + end
@@ -159,10 +149,8 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int, end_id: int) ->
                     n = len(part) // 4
                     out.append((bucket, doc_id, piece, at // 4, n, zlib.crc32(part), int(seen[n])))
                     seen[n] += 1
-            for w, (core, _) in cores.items():
-                if len(w) > LONGEST:
-                    del known[w]
-                    stems.pop(core, None)
+            for w in [w for w in (*parts, *tailed) if len(w) > LONGEST]:
+                del known[w]
             columns = list(zip(*out, strict=True))
             types = [pa.int32(), pa.int64(), pa.int32(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
