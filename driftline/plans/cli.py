@@ -49,7 +49,7 @@ def load_config() -> Config:
     try:
         return parse_config(Path(FILE).read_text())
     except FileNotFoundError:
-        raise ConfigError(f"{FILE} not found in {Path.cwd()} (run init first)") from None
+        raise ConfigError(f"there is no {FILE} in {Path.cwd()}: run init before") from None
 
 
 def state_path() -> Path:
@@ -64,11 +64,11 @@ def session():
 
 def init(args) -> int:
     if Path(FILE).exists():
-        raise ConfigError(f"{FILE} already exists in {Path.cwd()}")
+        raise ConfigError(f"there is a {FILE} in {Path.cwd()}")
     Path(FILE).write_text(SKELETON.format(name=toml_string(args.name)))
     Path(FOLDER).mkdir(exist_ok=True)
     Path(FOLDER, ".gitignore").write_text("plans/\n")
-    print(f"initialized project '{args.name}'\nnext: edit {FILE}, then apply")
+    print(f"{FILE} is there for project '{args.name}': edit it, then run apply")
     return 0
 
 
@@ -78,19 +78,19 @@ def apply(args) -> int:
 
     config = load_config()
     if args.target is not None and args.target not in config.targets:
-        raise ConfigError(f"'{args.target}' is not a known target name (checked the [targets.*] entries)")
+        raise ConfigError(f"no target is named '{args.target}'")
     state, actor = State.load_or_default(state_path()), args.actor or os.environ.get(ACTOR)
     chosen = {n: t for n, t in sorted(config.targets.items()) if args.target in (None, n)}
     for name, target in chosen.items():  # before anything is read
         if target.domain and config.find_domain(target.domain):
             if not actor:
-                raise ConfigError(f"target '{name}' is in domain '{target.domain}', which requires authorization: pass --as or set {ACTOR}")
+                raise ConfigError(f"applying '{name}' takes an operator of domain '{target.domain}': say who you are with --as or {ACTOR}")
             authorize_apply(config, name, target, actor)
     sources = SourceCache(session()) if chosen else None
     for name, target in chosen.items():
         state.snapshots[name] = capture(sources.get(target.connection, config.connections[target.connection]), target.identifier, target.sample_n)
     state.save(state_path())
-    print(f"applied: {', '.join(chosen)}" if chosen else "nothing to apply (no matching targets)")
+    print(f"applied: {', '.join(chosen)}" if chosen else "no targets, nothing applied")
     return 0
 
 
@@ -109,10 +109,10 @@ def _finish(reports, threshold, args, what) -> int:
 
     out = args.out or str(Path(FOLDER, "plans", datetime.now(UTC).strftime("%Y%m%dT%H%M%S%fZ") + ".json"))
     write_artifact(reports, out)
-    print(f"{what} written to {out}", file=sys.stderr if args.format == "json" else sys.stdout)
+    print(f"{what} saved as {out}", file=sys.stderr if args.format == "json" else sys.stdout)
     over = breached(reports, threshold)
     if over:
-        print(f"drift threshold {threshold:.4f} exceeded by {len(over)} column(s): {', '.join(over)}", file=sys.stderr)
+        print(f"over the drift threshold of {threshold:g}: {', '.join(over)}", file=sys.stderr)
     return 1 if over else 0
 
 
@@ -122,7 +122,7 @@ def _planned(args, target=None, domain=None):
 
     config = load_config()
     if not state_path().exists():
-        raise StateError(f"no state file at {state_path()}: apply first")
+        raise StateError(f"there is no {state_path()}: run apply before")
     options = _options(args, config)
     state = State.load(state_path())
     return config, plan_targets(session(), config, state, target, domain, options) if config.targets else []
@@ -138,7 +138,7 @@ def plan(args) -> int:
 
     config, found = _planned(args, target=args.target)
     if not found:
-        return _nothing(args, "nothing to plan (no matching targets)")
+        return _nothing(args, "no targets, nothing planned")
     reports = [t.report for t in found]
     print(to_json(reports) if args.format == "json" else "\n".join(x for r in reports for x in lines_of(r)))
     return _finish(reports, config.drift_threshold, args, "plan")
@@ -151,8 +151,8 @@ def federate(args) -> int:
     config, found = _planned(args, domain=args.domain)
     if not found:
         if args.domain is not None and normal(args.domain) not in {normal(d.name) for d in list_domains(config)}:
-            raise ConfigError(f"'{args.domain}' is not a known domain (checked [domains.*] and every target's domain)")
-        return _nothing(args, f"nothing to federate (no targets in domain '{args.domain}')" if args.domain is not None else "nothing to federate (no targets configured)")
+            raise ConfigError(f"no domain is named '{args.domain}'")
+        return _nothing(args, f"domain '{args.domain}' has no targets" if args.domain is not None else "there are no targets")
     reports = [t.report for t in found]
     print(to_json(reports) if args.format == "json" else "\n".join(federated_lines(found)))
     return _finish(reports, config.drift_threshold, args, "federated plan")
@@ -165,7 +165,7 @@ def side_of(config: Config, text: str):
         return name, identifier
     if text in config.targets:
         return config.targets[text].connection, config.targets[text].identifier
-    raise ConfigError(f"unknown connection '{name}'" if colon else f"'{text}' is neither a target nor connection:identifier")
+    raise ConfigError(f"no connection is named '{name}'" if colon else f"'{text}' is neither a target nor connection:identifier")
 
 
 def diff(args) -> int:
@@ -190,10 +190,9 @@ def domains(args) -> int:
     if args.format == "json":
         print(json.dumps([d.to_dict() for d in found], indent=2))
     elif not found:
-        print("no domains known (no [domains] entries or target domains)")
+        print("there are no domains")
     for d in found if args.format != "json" else []:
-        note = "" if d.has_domain_entry else " (undeclared: referenced by a target only)"
-        print(f"{d.name}: {d.endpoint or '(no endpoint registered)'} — {d.target_count} target(s), {d.operator_count} operator(s){note}")
+        print(f"{d.name}  targets={d.target_count}  operators={d.operator_count}  endpoint={d.endpoint or '-'}" + ("" if d.has_domain_entry else "  undeclared"))
     return 0
 
 
@@ -228,7 +227,7 @@ def explore(args) -> int:
     load_config()
     state = State.load_or_default(state_path())
     if not state.snapshots:
-        raise StateError("no snapshots found: apply first")
+        raise StateError("there are no snapshots yet: run apply before")
     app, keys = Explorer(sorted(state.snapshots)), {"j": "down", "k": "up", "": "enter", "b": "backspace"}
     print("\n".join(app.lines(state.snapshots)))
     while not app.quit and (line := sys.stdin.readline()):

@@ -164,7 +164,7 @@ def parse_config(text: str) -> Config:
     built = {k: {n: makers[k](f"[{k}.{n}]", v) for n, v in m.items()} for k, m in maps.items()}
     for n, target in built["targets"].items():
         if target.connection not in built["connections"]:
-            raise ConfigError(f"target '{n}' references unknown connection '{target.connection}'")
+            raise ConfigError(f"target '{n}' is on connection '{target.connection}', which isn't defined")
     seen: dict[str, str] = {}
     for n in built["domains"]:
         if normal(n) in seen:

@@ -53,14 +53,14 @@ class TargetReport:
 def plan_targets(spark: SparkSession, config: Config, state: State, target: str | None = None, domain: str | None = None, options: RenameOptions = RenameOptions()) -> list[TargetReport]:
     """Each target's baseline against now, by name. What is filtered out is never read. Samples, not all rows, give the PSI."""
     if target is not None and target not in config.targets:
-        raise ConfigError(f"'{target}' is not a known target name (checked the [targets.*] entries)")
+        raise ConfigError(f"no target is named '{target}'")
     sources, out = SourceCache(spark), []
     for name, t in sorted(config.targets.items()):
         if (target is not None and name != target) or (domain is not None and (t.domain is None or normal(t.domain) != normal(domain))):
             continue
         old = state.snapshots.get(name)
         if old is None:
-            raise StateError(f"target '{name}' has no snapshot: apply it first")
+            raise StateError(f"target '{name}' has no snapshot: run apply before")
         new = capture(sources.get(t.connection, config.connections[t.connection]), t.identifier, SAMPLE_N)
         before, after = old.struct(), new.struct()
         changes = schema_drift(before, after)
@@ -82,27 +82,26 @@ def breached(reports: list[DiffReport], threshold: float) -> list[str]:
 def lines_of(report: DiffReport) -> list[str]:
     """A report for people."""
     s = report.schema_drift
-    out = [f"── {report.source_identifier}  ↔  {report.target_identifier} ──"]
-    out += [f"  {label:<15} {', '.join(names)}" for label, names in (("added fields:", s.added_fields), ("removed fields:", s.removed_fields)) if names]
-    out += [f"  renamed field:  {r['from']} -> {r['to']} (confidence {r['confidence'] * 100:.0f}%)" for r in s.renamed_fields]
-    out += [f"  type change:    {c['field_name']} ({c['old_type']} -> {c['new_type']})" for c in s.changed_types]
+    out = [f"  new columns: {', '.join(s.added_fields)}"] if s.added_fields else []
+    out += [f"  missing columns: {', '.join(s.removed_fields)}"] if s.removed_fields else []
+    out += [f"  {r['from']} is now {r['to']} ({r['confidence']:.0%} sure)" for r in s.renamed_fields]
+    out += [f"  {c['field_name']} was {c['old_type']}, is {c['new_type']}" for c in s.changed_types]
     for name, d in sorted(report.column_drifts.items()):
-        metrics = {"psi": d.psi_statistic, "ks": d.ks_statistic, "p": d.ks_p_value if d.ks_statistic is not None else None, "categorical": d.categorical_drift}
-        shown = [f"{k}={v:.4f}" for k, v in metrics.items() if v is not None]
-        if shown or d.null_count_drift or (d.mean_drift or 0) > 2.220446049250313e-16:
-            mean = "none" if d.mean_drift is None else f"{d.mean_drift:g}"
-            out.append(" ".join([f"  data drift:     {name} mean_drift={mean} null_count_drift={d.null_count_drift}", *shown]))
-    return out + [f"  semantic drift: {d.field_name} ({d.source_type} -> {d.target_type})" for d in report.semantic_drifts]
+        metrics = {"mean": d.mean_drift or None, "nulls": d.null_count_drift or None, "psi": d.psi_statistic, "ks": d.ks_statistic, "p": d.ks_p_value, "categorical": d.categorical_drift}
+        shown = [f"{k} {v:.4g}" for k, v in metrics.items() if v is not None]
+        out += [f"  {name} drifts: {', '.join(shown)}"] if shown else []
+    out += [f"  {d.field_name} meant {d.source_type}, means {d.target_type}" for d in report.semantic_drifts]
+    return [f"{report.source_identifier} / {report.target_identifier}", *(out or ["  no difference"])]
 
 
 def federated_lines(reports: list[TargetReport]) -> list[str]:
     """Reports by domain, those without one last."""
     out = []
     for domain in sorted({r.domain for r in reports}, key=lambda d: (d is None, d or "")):
-        out.append(f"=== domain: {domain if domain is not None else '(unassigned)'} ===")
+        out.append(f"[{domain}]" if domain is not None else "[no domain]")
         for r in reports:
             if r.domain == domain:
-                out += ([f"  owner: {r.owner}"] if r.owner is not None else []) + lines_of(r.report)
+                out += ([f"  owner {r.owner}"] if r.owner is not None else []) + lines_of(r.report)
     return out
 
 

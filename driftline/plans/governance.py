@@ -12,7 +12,7 @@ def authorize_apply(config: Config, name: str, target: Target, actor: str) -> No
     """Raises AccessDenied unless the target's domain is undeclared or lists the actor. A declared domain without operators lets nobody in."""
     entry = config.find_domain(target.domain) if target.domain else None
     if entry and actor not in entry[1].operators:
-        raise AccessDenied(f"actor '{actor}' is not authorized to apply target '{name}' (domain '{target.domain}')")
+        raise AccessDenied(f"'{actor}' may not apply '{name}': no operator of domain '{target.domain}'")
 
 
 @dataclass(frozen=True)
@@ -42,7 +42,7 @@ def list_domains(config: Config) -> list[DomainInfo]:
 def resolve_endpoint(config: Config, domain: str) -> str:
     info = next((d for d in list_domains(config) if normal(d.name) == normal(domain)), None)
     if info is None:
-        raise UnknownDomain(f"unknown domain '{domain}'")
+        raise UnknownDomain(f"no domain is named '{domain}'")
     if info.endpoint is None:
-        raise NoEndpoint(f"domain '{domain}' has no registered endpoint")
+        raise NoEndpoint(f"domain '{domain}' names no endpoint")
     return info.endpoint

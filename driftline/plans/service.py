@@ -95,7 +95,7 @@ class Node:
         tree = self.tree(identifier)
         found = tree.proofs([leaf_index])[0]
         if found is None:
-            raise IndexOutOfRange(f"leaf_index {leaf_index} out of range (dataset has {tree.leaf_count} rows)")
+            raise IndexOutOfRange(f"row {leaf_index} was asked for, and there are {tree.leaf_count}")
         return _proof_to_wire(found)
 
     def get_inclusion_proofs(self, identifier: str, leaf_indices: list[int]) -> dict:
@@ -115,17 +115,17 @@ def reconcile(node, identifier: str, local: MerkleTree) -> Reconciliation:
         return Reconciliation(True)
     root = from_hex(remote["root_hex"])
     if root is None:
-        raise EngineError(f"malformed root hash: {remote['root_hex']}")
+        raise EngineError(f"the node's root is no hash: {remote['root_hex']}")
     n = min(local.leaf_count, int(remote["leaf_count"]))
     answer = node.get_inclusion_proofs(identifier, list(range(n)))
     if len(answer["proofs"]) != n or len(answer["found"]) != n:
-        raise EngineError(f"{len(answer['proofs'])} proofs for {n} requested indices")
+        raise EngineError(f"{n} proofs were asked for, {len(answer['proofs'])} came")
     own = {r["idx"]: r["hash"] for r in local.leaf_frame.where(f"idx < {n}").toLocalIterator()}
     bad = []
     for i, (proof, found) in enumerate(zip(answer["proofs"], answer["found"], strict=True)):
         leaf = from_hex(proof["leaf_hex"]) if found else None
         if found and leaf is None:
-            raise EngineError(f"malformed leaf hash: {proof['leaf_hex']}")
+            raise EngineError(f"the node's leaf is no hash: {proof['leaf_hex']}")
         steps = tuple(ProofStep(s["sibling_hex"], s["sibling_is_left"]) for s in proof["steps"])
         if not found or leaf.hex() != own[i] or not verify_proof(root, leaf, InclusionProof(i, steps)):
             bad.append(i)
