@@ -7,7 +7,7 @@ coordinates of two sketches is concentrated about the Jaccard similarity as with
 
 Texts of one and the same shingle set form a class (a 128-bit hash of the set), and one document stands for it.
 Classes that share a band are candidates. A bucket of m classes never gives all its m * (m - 1) / 2 pairs: in each
-round some of its classes are pivots (one, then four, sixteen ...), each is compared with those of the bucket that are not yet in
+round some of its classes are pivots (one, then 16, 256 ...), each is compared with those of the bucket that are not yet in
 its component, and then leaves the bucket. Pairs are confirmed on their full shingle sets, found links merge
 components, and rounds go on until no bucket holds two components. Classes that share several buckets meet in one of them. So no candidate is left untested unless both
 are already known to be connected.
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
     discard(found)
     step = 0
     while not members.isEmpty():
-        slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(2 * step, 20)))
+        slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(4 * step, 20)))
         pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("own", "id", "size", "component", *_BIT_COLUMNS, "keys")).alias("p")).select("key", "p.*"))
         met = members.alias("m").join(pivots.alias("p"), "key").where("m.component <> p.component and m.id <> p.id")
         most = F.least(F.col("m.size") - F.col("m.own"), F.col("p.size") - F.col("p.own"))  # shingles that they can share

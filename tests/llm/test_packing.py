@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from driftline.llm.packing import CapacityTree, best_fit_decreasing, pack
+from driftline.llm.packing import CapacityTree, Encoder, best_fit_decreasing, pack
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -66,6 +66,20 @@ def test_pieces_against_the_tokenizer(spark):
     check_places(got)
 
 
+def test_words_against_the_tokenizer(spark):
+    text = open(PATH, encoding="utf-8").read()
+    t, own = Tokenizer.from_file(PATH), Encoder(text)
+    assert own.piece
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()
+    words = sorted({w for r in docs for w in r.text.lower().encode().split()})
+    words += ["ÉTÉ", "été", "e\u0301te", "ÿ", "ÿÿa", "ıI", "İx", "ǅ", "ß", "ﬁn", "σς", "日本", "aª", "º", "x²", "µ", "ŉ", "ĳ", "a" * 500, "ĸ", "ĿA", "ǰ", "\u00ad"]
+    words = [w if isinstance(w, bytes) else w.encode() for w in words]
+    want = t.encode_batch([w.decode() for w in words], add_special_tokens=False)
+    bad = [w for w, got, x in zip(words, own.ids(words), want, strict=True) if got != np.array(x.ids, "<u4").tobytes()]
+    assert bad == []
+    assert Encoder(text.replace('"Lowercase"', '"NFKC"')).piece is None
+
+
 def check_places(rows):
     by = {}
     for r in rows:
