@@ -9,7 +9,7 @@ round function SHA-256 of key, kind, round and half; every domain is such a prod
 Main path: DataFrame functions alone; all is done inside a row and nothing is shuffled.
 
 Kinds: card and other numbers of 13 to 19 digits (payload permuted, distance of the check digit kept); North
-American style phone numbers (national digits); IPv4; social security numbers (area 001-899 but 666, group 01-99,
+American style phone numbers, country code and brackets optional, groups apart by blank, point or hyphen or, after + and a country code, not at all (national digits); IPv4; social security numbers (area 001-899 but 666, group 01-99,
 serial 0001-9999); dates as YYYY-MM-DD, DD.MM.YYYY or DD/MM/YYYY in the 72,900 days from 1900-01-01 (others stay); e-mail local parts
 (ASCII letters and digits permuted each within its class).
 
@@ -26,21 +26,22 @@ from driftline.llm.native import found_in, rebuilt
 
 ROUNDS, EPOCH, DAYS = 8, "1900-01-01", 270
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+_CODE, _NUMBER = r"(?:\+?[0-9]{1,3}[ .\-]?)", r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"
 #: kind, how it looks in a text; earlier ones win. None has inner groups.
 FORMS = (
     ("email", r"[\p{L}\p{N}._%+\-]{1,64}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){0,8}\.[A-Za-z]{2,24}"),
-    ("phone", r"\+?[0-9]{1,3}[ .\-]?\([0-9]{3}\)[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"),
+    ("phone", rf"{_CODE}?\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}|(?!{_NUMBER})(?:\+[0-9]{{1,3}}[ .\-]?|[0-9]{{1,3}}[ .\-])?[0-9]{{3}}[ .\-][0-9]{{3}}[ .\-]?[0-9]{{4}}(?![0-9])|\+[0-9]{{1,3}}[ .\-]?[0-9]{{10}}(?![0-9])"),
     ("ip", rf"{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?!\.?[0-9])"),
     ("date_iso", r"[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9\-])"),
     ("date_dot", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}(?![0-9])"),
     ("date_slash", r"[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9])"),
     ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])"),
-    ("number", r"[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])"),
+    ("number", _NUMBER),
 )
 BEFORE = r"(?<![\p{L}\p{N}._%+\-])"
 ANY = BEFORE + "(?:" + "|".join(p for _, p in FORMS) + ")"
-#: What a text must hold to be looked at in full.
-HINT = r"[0-9]{2}|@"
+#: What a text must hold to be looked at in full; every form implies it.
+HINT = r"[0-9][ .\-]?[0-9]|@"
 
 
 def _number(digest: Column) -> Column:
@@ -104,7 +105,7 @@ def _as_number(v: Column, key: str) -> Column:
 
 
 def _as_phone(v: Column, key: str) -> Column:
-    code = F.regexp_extract(v, r"^\+?[0-9]*[ .\-]?", 0)
+    code = F.regexp_extract(v, r"^(.*?)\(?[0-9]{3}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}$", 1)
     rest = F.substr(v, F.length(code) + 1)
     return F.concat(code, refilled(rest, permuted_digits(_digits(rest), key, "phone")))
 

@@ -113,3 +113,14 @@ def test_texts(documents):
     out = pii.rewrite(docs, KEY)
     assert out.columns == docs.columns and {r.doc_id: r.text for r in out.collect()}[5] == rows[4][1]
     assert pii.pseudonymised(documents([]), KEY).count() == 0
+
+
+def test_phones_of_every_style_and_texts_with_spaced_digits(documents):
+    phones = ["(555) 123-4567", "(555)1234567", "555-123-4567", "555.123.4567", "555 123 4567", "+1-555-123-4567", "+1 555 123 4567", "1-555-123-4567", "+15551234567", "+1 (555) 123-4567"]
+    rows = [(i, f"call {p} 5 times, or not") for i, p in enumerate(phones)] + [(20, "from 8.8.8.8 only"), (21, "card 4 4 1 7 7 4 4 2 8 0 3 5 1 5 4 7"), (22, "3 of 4, then 5")]
+    got = {r.doc_id: r.text for r in pii.pseudonymised(documents(rows), KEY).collect()}
+    assert sorted(got) == [*range(len(phones)), 20, 21]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert len({digits(got[i].split(" 5 times")[0])[-10:] for i in range(len(phones))}) == 1  # one number, one pseudonym
+    assert "5551234567" not in digits("".join(got.values())) and "8.8.8.8" not in got[20] and "4417744280351547" not in digits(got[21])
+    assert all(re.sub("[0-9]", "9", got[i]) == re.sub("[0-9]", "9", rows[i][1]) for i in range(len(phones)))
