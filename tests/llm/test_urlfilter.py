@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 
@@ -79,3 +80,23 @@ def test_models_tell_what_labels_say(spark):
     judged = spark.createDataFrame([(u, i % 2 == 0) for i, u in rows], "url string, accepted boolean")
     got = filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), judged=judged).collect()
     assert sum((x.verdict == "allow") == (x.page_id % 2 == 0) for x in got) / len(got) > 0.98
+
+
+def test_scores_are_those_of_exact_counts_however_many_grams_there_are(spark):
+    r = random.Random(6)
+    urls = [f"https://{''.join(r.choice('abcdefghijklmnopqrstuvwxyz0123456789-') for _ in range(40))}.com/" for _ in range(6000)]
+    judged = spark.createDataFrame([(u, i % 2 == 0) for i, u in enumerate(urls)], "url string, accepted boolean")
+    pages = [(i, u) for i, u in enumerate(urls[:60])] + [(60, ""), (61, "http://é/x")]
+    plain, grams = ({}, {}), set()
+    for j, u in enumerate(urls):
+        if zlib.crc32(u.encode()) % 5:
+            padded = b"\x02" * (ORDERS - 1) + u.encode()
+            for k in range(ORDERS):
+                for i in range(ORDERS - 1, len(padded)):
+                    grams.add((k, padded[i - k : i + 1]))
+                    for key in ((k, padded[i - k : i + 1]), (k, padded[i - k : i], "c")):
+                        c = int(j % 2 == 0)
+                        plain[c][key] = plain[c].get(key, 0) + 1
+    assert len(grams) > 4 * SLOTS
+    for x in filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), judged=judged).collect():
+        assert abs(x.score - plain_log_ratio(dict(pages)[x.page_id].encode(), plain)) < 1e-9
