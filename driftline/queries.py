@@ -325,6 +325,19 @@ def row_index_orders(spark, d):
     return indexed(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).where(F.col(INDEX) % 1000 == 0).select(F.col(INDEX).alias("idx"), "o_orderkey")
 
 
+@_query("select row_number() over (order by o_orderkey) - 1 as idx, o_orderkey from orders")
+def row_index_every_order(spark, d):
+    return indexed(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select(F.col(INDEX).alias("idx"), "o_orderkey")
+
+
+@_query("select cast(row_number() over (order by n_nationkey) - 1 as integer) as leaf_index, cast(row_number() over (order by n_nationkey) - 1 as integer) as idx, true as verified from nation")
+def merkle_proofs_every_nation(spark, d):
+    tree = merkle.MerkleTree.of(_t(spark, d, "nation"), ["n_nationkey"])
+    every = list(range(tree.leaf_count))
+    found = [(p.leaf_index, i, merkle.verify_proof(tree.root, leaf, p)) for i, (leaf, p) in zip(every, tree.proofs(every), strict=True)]
+    return spark.createDataFrame(found, "leaf_index int, idx int, verified boolean")
+
+
 @_query("select 'o_custkey' as \"column\", i, v from (select row_number() over (order by o_orderkey) - 1 as i, cast(o_custkey as double) as v from orders where o_custkey is not null) where i < 50 union all select 'o_orderkey', i, v from (select row_number() over (order by o_orderkey) - 1 as i, cast(o_orderkey as double) as v from orders where o_orderkey is not null) where i < 50 union all select 'o_totalprice', i, v from (select row_number() over (order by o_orderkey) - 1 as i, o_totalprice as v from orders where o_totalprice is not null and not isnan(o_totalprice)) where i < 50")
 def sample_first_n(spark, d):
     samples = state.first_samples(_t(spark, d, "orders"), 50, ["o_orderkey"])
