@@ -25,8 +25,15 @@ from pyspark.sql import functions as F
 
 from driftline.llm.native import found_in, rebuilt
 
-#: A run of 16 characters or more that holds a digit, or the head of a private key.
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z_+/\-]{0,200}[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+_NAMED = r"(?i:token|secret|passwo?r?d|pwd|api[_ \-]?key|access[_ \-]?key|private[_ \-]?key|credentials?)"
+#: A quoted value that is given to a hint word; a run of 16 characters or more that holds a digit; what has an issuer's prefix; a value
+#: without quotes that is given to a hint word; the head of a private key.
+CANDIDATE = (
+    rf"(?<=[:=] ?[\"'`])(?<={_NAMED}[A-Za-z0-9_]{{0,8}}[\"']? ?[:=] ?[\"'`])[^\s\"'`]{{6,200}}(?=[\"'`])"
+    r"|(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]{0,200}[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,})"
+    rf"|(?<=[:=] ?)(?<={_NAMED}[A-Za-z0-9_]{{0,8}}[\"']? ?[:=] ?)[^\s\"'`,;<>:=]{{6,200}}"
+    r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+)
 NEAR = 48
 MAX_LABELLED, TREES, DEPTH = 4000, 15, 5
 WORDS = ("example", "sample", "dummy", "test", "your", "here", "token", "secret", "password", "key", "api", "user", "name", "data", "file", "path", "page", "section", "number", "version", "config", "image", "index", "item", "order", "report", "chapter", "table", "figure", "value", "build", "release", "src", "main", "lib", "home", "docs", "and", "the", "for", "with", "change", "replace", "insert", "xxx", "abc", "foo", "bar", "null", "none", "default")
@@ -139,9 +146,28 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[dict]:
     return out
 
 
+def labelled_values(n: int = 800, seed: int = 6) -> list[dict]:
+    """Made-up short values behind a hint word: passwords, and words, placeholders and code that aren't any."""
+    r = random.Random(seed)
+    marks, alnum = "!@#$%^&*?.-_+", string.ascii_letters + string.digits
+    word = lambda k: "".join(r.choice("aeiourstlnmdp") for _ in range(k))
+    out = []
+    for i in range(n):
+        good = i % 2 == 0
+        if good:
+            k = r.randint(8, 18)
+            value = ("".join(r.choice(alnum + marks * 2) for _ in range(k - 3)) + r.choice(string.digits) + r.choice(marks) + r.choice(string.ascii_uppercase), "".join(r.choice(alnum) for _ in range(k)), word(r.randint(5, 9)).capitalize() + r.choice(marks) + str(r.randint(10, 9999)) + r.choice(("", "!", "#")))[r.randrange(3)]
+        else:
+            value = (word(r.randint(6, 14)), "your_" + r.choice(("password", "token", "secret")), "<" + r.choice(WORDS) + "_here>", "${" + r.choice(WORDS).upper() + "_" + word(4).upper() + "}", "os.environ[" + word(5) + "]", word(5) + "." + word(6) + "()", "x" * r.randint(6, 12), "*" * r.randint(6, 12), r.choice(WORDS) + "_" + r.choice(WORDS), word(7) + ".")[r.randrange(10)]
+        quote = r.choice(("\"", "'", ""))
+        before = word(6) + " " + r.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "PASSWORD", "db_password")) + r.choice((" = ", "=", ": ")) + quote
+        out.append({"value": value, "before": before[-NEAR:], "after": quote + r.choice((" ", "\n", "")) + word(5), "secret": good})
+    return out
+
+
 def learn(spark: SparkSession, labelled: DataFrame | None = None) -> Forest:
     if labelled is None:
-        text = json.dumps(labelled_findings())
+        text = json.dumps(labelled_findings() + labelled_values())
         labelled = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<value string, before string, after string, secret boolean>>")).alias("x")).select("x.*")
     rows = labelled.where("value is not null and secret is not null").select(F.col("secret").cast("int").alias("y"), *[c.alias(k) for c, k in zip(numbers(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))), FEATURES, strict=True)])
     rows = np.array(sorted(map(tuple, rows.limit(MAX_LABELLED).collect())), np.float64).reshape(-1, len(FEATURES) + 1)
