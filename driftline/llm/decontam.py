@@ -4,7 +4,7 @@ Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased. A f
 benchmark item and of a document; the words under its 1s are hashed, the others may differ. Equal hashes join a
 place of the document with a place of the item; around it the two are laid side by side and compared word by
 word. An item has leaked into a document if in some WINDOW words of it (all, if it has fewer) at least SHARE of
-the words agree. The masks meet every such window of 15 words that has up to three substitutions.
+the words agree. The masks meet every such window of 15 words that has up to three substitutions, SHORT_MASKS with them those of shorter items that agree enough.
 
 The benchmark side is dealt into blocks of about BLOCK_WORDS words, so a block's size is bounded whatever the
 benchmark holds; each block's sorted seed hashes and words go to the executors, and documents stream past it in
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from driftline.llm.shared import mix, seeded, slices, texts_of, word_hashes
 
 MASKS = ("111011", "11111", "1101101")
+#: Further ones for items of 8 to 14 words, some alignments of which none of MASKS meets.
+SHORT_MASKS = ("1111", "11011", "1011")
 WINDOW, SHARE, SHORTEST = 15, 0.8, 5
 BLOCK_WORDS = 2_000_000
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -58,10 +60,11 @@ class Block:
     def __init__(self, items: list[tuple[int | None, bytes | None]]):
         self.items = [(i, w) for i, t in items if len(w := words_of(t)) >= SHORTEST]
         whole = {"1" * len(w) for _, w in self.items if len(w) < 8}
-        self.masks = [*dict.fromkeys([*MASKS, *sorted(whole)])]
+        short = SHORT_MASKS if any(8 <= len(w) < WINDOW for _, w in self.items) else ()
+        self.masks = [*dict.fromkeys([*MASKS, *short, *sorted(whole)])]
         self.tables = []
         for mask in self.masks:
-            fit = [k for k, (_, w) in enumerate(self.items) if (len(w) >= 8 and mask in MASKS) or (len(w) < 8 and len(w) == len(mask) and "0" not in mask)]
+            fit = [k for k, (_, w) in enumerate(self.items) if (len(w) >= 8 and mask in MASKS) or (8 <= len(w) < WINDOW and mask in SHORT_MASKS) or (len(w) < 8 and len(w) == len(mask) and "0" not in mask)]
             own = [seeds(self.items[k][1], mask) for k in fit]
             key = np.concatenate([np.zeros(0, np.uint64), *own])
             item = np.repeat(np.array(fit, np.int64), [len(s) for s in own])

@@ -57,3 +57,12 @@ def test_blocks_and_empty(spark, documents):
     assert contaminated(documents([]), bench).count() == 0
     assert contaminated(documents(docs), bench.limit(0)).count() == 0
     assert clean(documents(docs), bench.limit(0)).count() == len(docs)
+
+
+def test_short_items_are_met_with_every_substitution_that_they_may_have():
+    for n in range(8, WINDOW):
+        item = " ".join(f"i{k}" for k in range(n)).encode()
+        block = Block([(1, item)])
+        for bad in itertools.combinations(range(n), n - -(-80 * n // 100)):
+            text = b"before " + b" ".join(b"other" if k in bad else w for k, w in enumerate(item.split())) + b" after"
+            assert [x[:2] for x in block.leaks([text])] == [(0, 1)], (n, bad)
