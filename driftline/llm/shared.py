@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -58,6 +59,12 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of what is written as a table and done with: it does so once the driver has no reference to it any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _HELD: dict = {}
 
 
