@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import mix, seeded, slices, texts_of, word_hashes
+from driftline.llm.shared import durable, mix, seeded, slices, texts_of, word_hashes
 
 MASKS = ("111011", "11111", "1101101")
 #: Further ones for items of 8 to 14 words, some alignments of which none of MASKS meets.
@@ -32,6 +32,8 @@ BLOCK_WORDS = 2_000_000
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _WEIGHT = np.array([mix(np.array([seeded(900 + k)]))[0] | np.uint64(1) for k in range(64)], np.uint64)
 _FILTER_BITS = 22
+#: Hits, and words under hits, that are looked at in one go; all the others follow.
+HITS, WORDS = 200_000, 4_000_000
 
 
 def words_of(text: bytes | None) -> np.ndarray:
@@ -62,6 +64,9 @@ class Block:
         whole = {"1" * len(w) for _, w in self.items if len(w) < 8}
         short = SHORT_MASKS if any(8 <= len(w) < WINDOW for _, w in self.items) else ()
         self.masks = [*dict.fromkeys([*MASKS, *short, *sorted(whole)])]
+        self.words = np.concatenate([np.zeros(0, np.uint64), *[w for _, w in self.items]])
+        self.length = np.array([len(w) for _, w in self.items], np.int64)
+        self.begin = np.cumsum(self.length) - self.length
         self.tables = []
         for mask in self.masks:
             fit = [k for k, (_, w) in enumerate(self.items) if (len(w) >= 8 and mask in MASKS) or (8 <= len(w) < WINDOW and mask in SHORT_MASKS) or (len(w) < 8 and len(w) == len(mask) and "0" not in mask)]
@@ -69,10 +74,11 @@ class Block:
             key = np.concatenate([np.zeros(0, np.uint64), *own])
             item = np.repeat(np.array(fit, np.int64), [len(s) for s in own])
             place = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(s)) for s in own]])
-            order = np.argsort(key, kind="stable")
+            head = np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] == 0)])[: len(key)]
+            order = np.lexsort((~head, key))  # of one seed in a row the first comes first
             there = np.zeros(1 << _FILTER_BITS, bool)
             there[key >> np.uint64(64 - _FILTER_BITS)] = True
-            self.tables.append((mask, key[order], item[order], place[order], np.packbits(there)))
+            self.tables.append((mask, key[order], item[order], place[order], np.append(0, np.cumsum(head[order])), np.packbits(there)))
 
     def leaks(self, texts: list[bytes | None]) -> list[tuple[int, int | None, int, int, int]]:
         """(text, item id, first word in the text, words compared, words that agree), the best place for each text and item."""
@@ -80,8 +86,9 @@ class Block:
         words = np.concatenate([np.zeros(0, np.uint64), *split])
         ends = np.cumsum([len(w) for w in split]).astype(np.int64)
         begins = ends - np.array([len(w) for w in split], np.int64)
-        hits = []
-        for mask, key, item, place, packed in self.tables:
+        found, seen = [np.zeros((0, 5), np.int64)], np.zeros(0, np.int64)
+        reach = int(self.length.max(initial=0))
+        for mask, key, item, place, heads, packed in self.tables:
             if not len(key):
                 continue
             there = np.unpackbits(packed).view(bool)
@@ -91,30 +98,62 @@ class Block:
             at, low, high = at[low < high], low[low < high], high[low < high]
             text = np.searchsorted(ends, at, side="right")
             inside = at + len(mask) <= ends[text]
-            at, low, n, text = at[inside], low[inside], (high - low)[inside], text[inside]
-            which = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            hits.append(np.stack([np.repeat(text, n), item[which], np.repeat(at - begins[text], n) - place[which]], 1))
-        if not hits:
-            return []
-        best: dict[tuple[int, int], tuple] = {}
-        for text, k, shift in np.unique(np.concatenate(hits), axis=0).tolist():
-            found = overlap(split[text], self.items[k][1], shift)
-            if found and (old := best.get((text, k), (0, 0, -1)))[2] < found[2]:
-                best[text, k] = found if old[2] < found[2] else old
-        return [(text, self.items[k][0], *found) for (text, k), found in best.items()]
-
-
-def overlap(words: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int] | None:
-    """The item's first word lies at words[shift]. The window with most agreeing words: its first word, length and how many agree."""
-    size = len(item) if len(item) < 8 else min(WINDOW, len(item))
-    need = size if len(item) < 8 else -(-int(round(SHARE * 100)) * size // 100)
-    low, high = max(0, -shift), min(len(item), len(words) - shift)
-    if high - low < size:
-        return None
-    same = np.concatenate([[0], np.cumsum(item[low:high] == words[low + shift : high + shift])])
-    agree = same[size:] - same[:-size]
-    at = int(agree.argmax())
-    return (low + shift + at, size, int(agree[at])) if agree[at] >= need else None
+            at, low, high, text = at[inside], low[inside], high[inside], text[inside]
+            # where a seed comes again at once in the text, it lies on a diagonal that was met a place before, unless it is the first of its row in the item
+            again = (at > begins[text]) & (own[at] == own[at - 1])
+            n = np.where(again, heads[high] - heads[low], high - low)
+            for part in _parts(n, HITS):
+                m = n[part]
+                which = np.repeat(low[part], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                shift = np.repeat(at[part] - begins[text[part]], m) - place[which]
+                code = np.unique((np.repeat(text[part], m) * len(self.items) + item[which]) * (len(words) + reach + 1) + shift + reach)
+                code = code[~np.isin(code, seen)]
+                seen = np.union1d(seen, code)
+                pair, shift = np.divmod(code, len(words) + reach + 1)
+                hits = np.stack([*np.divmod(pair, len(self.items)), shift - reach], 1)
+                found.append(_best(np.concatenate([found.pop(), self._overlaps(words, begins, ends, hits)])))
+        return [(t, self.items[k][0], start, size, agree) for t, k, start, size, agree in found[0].tolist()]
+
+    def _overlaps(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Lays items on texts as hits (text, item, the text's place for the item's first word) say. Of those with a window in which enough words agree: text, item, where it begins, its length, how many agree."""
+        out = [np.zeros((0, 5), np.int64)]
+        text, item, shift = hits.T
+        length, size = self.length[item], np.minimum(WINDOW, self.length[item])
+        need = np.where(size < 8, size, -(-int(round(SHARE * 100)) * size // 100))
+        low, high = np.maximum(0, -shift), np.minimum(length, ends[text] - begins[text] - shift)
+        fits = np.flatnonzero(high - low >= size)
+        for part in _parts((high - low)[fits], WORDS):
+            own = fits[part]
+            n = high[own] - low[own]
+            first = np.cumsum(n) - n
+            step = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(low[own], n)
+            same = self.words[np.repeat(self.begin[item[own]], n) + step] == words[np.repeat(begins[text[own]] + shift[own], n) + step]
+            total = np.concatenate([[0], np.cumsum(same)])
+            windows = n - size[own] + 1
+            start = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(windows.sum())
+            agree = total[start + np.repeat(size[own], windows)] - total[start]
+            value = agree * (len(same) + 1) - start  # most words, then the first place
+            best = np.maximum.reduceat(value, np.cumsum(windows) - windows)
+            most = -(-best // (len(same) + 1))
+            at = most * (len(same) + 1) - best - first + low[own] + shift[own]
+            out.append(np.stack([text[own], item[own], at, size[own], most], 1)[most >= need[own]])
+        return np.concatenate(out)
+
+
+def _parts(sizes: np.ndarray, limit: int) -> list[slice]:
+    """Slices of what has these sizes so that each is of `limit` at most, or one element."""
+    ends, out, at = np.cumsum(sizes), [], 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right")))
+        out.append(slice(at, to))
+        at = to
+    return out
+
+
+def _best(found: np.ndarray) -> np.ndarray:
+    """For each text and item the row with the most agreeing words, the first in the text of several."""
+    found = found[np.lexsort((found[:, 2], -found[:, 4], found[:, 1], found[:, 0]))]
+    return found[np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)])[: len(found)]]
 
 
 def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list:
@@ -151,7 +190,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into whose text nothing leaked, in all their columns."""
-    for shipped in blocks(benchmark):
+    shipped_blocks = blocks(benchmark)
+    for k, shipped in enumerate(shipped_blocks):
 
         def run(batches, shipped=shipped):
             for batch in slices(batches, "text", 2 << 20):
@@ -159,4 +199,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if k + 1 < len(shipped_blocks):  # one block at a time in a worker
+            docs = durable(docs)
+            shipped.unpersist()
     return docs

@@ -1,7 +1,18 @@
 import itertools
 import random
+import time
+import tracemalloc
 
-from driftline.llm.decontam import MASKS, WINDOW, Block, blocks, clean, contaminated, overlap, words_of
+from driftline.llm.decontam import MASKS, WINDOW, Block, blocks, clean, contaminated, words_of
+
+
+def overlap(words, item, shift):
+    """Whether enough words agree in some window of an item whose first word lies at words[shift]."""
+    size = len(item) if len(item) < 8 else min(WINDOW, len(item))
+    need = size if len(item) < 8 else -(-80 * size // 100)
+    low, high = max(0, -shift), min(len(item), len(words) - shift)
+    same = [item[k] == words[k + shift] for k in range(low, high)]
+    return any(sum(same[k : k + size]) >= need for k in range(len(same) - size + 1))
 
 
 def brute(docs, items):
@@ -66,3 +77,28 @@ def test_short_items_are_met_with_every_substitution_that_they_may_have():
         for bad in itertools.combinations(range(n), n - -(-80 * n // 100)):
             text = b"before " + b" ".join(b"other" if k in bad else w for k, w in enumerate(item.split())) + b" after"
             assert [x[:2] for x in block.leaks([text])] == [(0, 1)], (n, bad)
+
+
+def test_common_phrases_and_repeated_words_stay_cheap():
+    r = random.Random(1)
+    prose = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    phrase = "which of these is the most likely answer".split()
+    block = Block([(i, " ".join(prose(10) + phrase + prose(20)).encode()) for i in range(4000)])
+    begin = time.process_time()
+    assert block.leaks([" ".join(prose(30) + phrase + prose(30)).encode() for _ in range(50)]) == []
+    assert time.process_time() - begin < 10
+    the = Block([(1, b"the " * 3000), (2, b"so it is " * 40)])
+    tracemalloc.start()
+    assert [x[:2] for x in the.leaks([b"the " * 20000, b"so it is " * 2000])] == [(0, 1), (1, 2)]
+    assert tracemalloc.get_traced_memory()[1] < 500 << 20
+    tracemalloc.stop()
+
+
+def test_blocks_one_after_another_clean_like_one(spark, documents, monkeypatch):
+    from driftline.llm import decontam
+
+    docs, items = case()
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted(map(str, clean(documents(docs), bench).collect()))
+    monkeypatch.setattr(decontam, "blocks", lambda b: blocks(b, block_words=100))
+    assert sorted(map(str, decontam.clean(documents(docs), bench).collect())) == want
