@@ -18,7 +18,8 @@ QUALITY = 0.3
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose text the classifier doesn't reject. Rows in, rows out in their order; null texts count as empty."""
+    """Keeps the documents whose text the classifier doesn't reject. Rows in, rows out in their order; null texts count as empty, of rows that share a doc_id each is judged by its text. Labels of null ids or null quality
+    teach nothing; without any label, and from an empty table, nothing is rejected."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
     return quality.with_score(docs, model, keep=QUALITY)
@@ -32,17 +33,20 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out the documents into which a benchmark item leaked."""
+    """Takes out the documents into which a benchmark item leaked. Null and empty texts stay, whole long texts are looked at;
+    each row is judged for itself, whatever its doc_id, so repeated rows go or stay together; null items and an empty benchmark take nothing out."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts; n_chars follows."""
+    """Replaces secrets in the texts; n_chars follows. Every row stays; null and empty texts stay as they are, texts are searched in
+    full, and equal texts give equal texts, whatever their doc_id. An empty table gives an empty one."""
     return secrets.redact(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into token sequences of 4096."""
+    """Packs what is left into token sequences of 4096, every row: a null text counts as empty and has the end token only, longer ones than a sequence are
+    cut, rows that share a doc_id are packed each, and places among equal lengths are free. An empty table gives no rows."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
