@@ -37,8 +37,12 @@ def hints_phone(name: str) -> bool:
     return _names(name, *PHONE_HINTS)
 
 
+#: White space as the patterns' \S understands it, beyond Java's own.
+_BLANK = r"[^\s\x0B\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+
+
 def _full(v: Column, pattern: str) -> Column:
-    return v.rlike(rf"\A(?:{pattern})\z")
+    return v.rlike(rf"\A(?:{pattern})\z".replace(r"\S", _BLANK))
 
 
 def is_ipv6(v: Column) -> Column:

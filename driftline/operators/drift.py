@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from driftline.functions import semantic
 from driftline.functions.types import is_numeric, is_text, type_name
 from driftline.operators.profile import ColumnStats, as_number, col, column_stats, profile_frame
-from driftline.operators.rows import distinct_names, materialised, running_sums
+from driftline.operators.rows import distinct_names, materialised, running_sums, scratch
 
 #: Fixed values.
 BINS, FLOOR, KS_TERMS, NOTHING = 10, 1e-4, 100, 2.220446049250313e-16
@@ -143,16 +143,20 @@ def stats_drift(source: DataFrame, target: DataFrame) -> DataFrame:
     return a.join(b, "column").select("column", F.abs(F.col("t_mean") - F.col("s_mean")).alias("mean_drift"), (F.col("t_nulls") - F.col("s_nulls")).alias("null_count_drift"))
 
 
-def drift_frame(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Every metric, a row for each common column. Whether a text metric applies is decided by the source's type."""
+def metrics_frame(source: DataFrame, target: DataFrame) -> DataFrame:
+    """column, ks_statistic, ks_p_value, psi_statistic, categorical_drift for the common columns that have such. Whether a text metric applies is decided by the types."""
     distinct_names(source)
     distinct_names(target)
     old, new = ({f.name: f for f in df.schema.fields} for df in (source, target))
     common = common_columns(source.schema, target.schema)
     numbers = [c for c in common if is_numeric(old[c]) and is_numeric(new[c])]
     texts = [c for c in common if is_text(old[c]) and is_text(new[c])]
-    out = stats_drift(source, target).join(numeric_drift(source, target, numbers).drop("n_source", "n_target"), "column", "left")
-    return out.join(categorical_drift(source, target, texts), "column", "left")
+    return numeric_drift(source, target, numbers).drop("n_source", "n_target").join(categorical_drift(source, target, texts), "column", "full")
+
+
+def drift_frame(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Every metric, a row for each common column."""
+    return stats_drift(source, target).join(metrics_frame(source, target), "column", "left")
 
 
 def breaches(frame: DataFrame, threshold: float) -> DataFrame:
@@ -189,13 +193,14 @@ def drift_from_stats(source: dict[str, ColumnStats], target: dict[str, ColumnSta
     return out
 
 
-def data_drift(source: DataFrame, target: DataFrame) -> dict[str, ColumnDrift]:
-    """All metrics by column; none if a side has no rows."""
-    out = drift_from_stats(column_stats(source), column_stats(target))
+def data_drift(source: DataFrame, target: DataFrame, stats: tuple[dict[str, ColumnStats], dict[str, ColumnStats]] | None = None) -> dict[str, ColumnDrift]:
+    """All metrics by column; none if a side has no rows. `stats` are both sides' statistics, where they are known already."""
+    out = drift_from_stats(*(stats or (column_stats(source), column_stats(target))))
     if out:
-        for r in drift_frame(source, target).collect():  # a row a column
-            for k in ("ks_statistic", "ks_p_value", "psi_statistic", "categorical_drift"):
-                setattr(out[r["column"]], k, r[k])
+        with scratch():
+            for r in metrics_frame(source, target).collect():  # a row a column
+                for k in ("ks_statistic", "ks_p_value", "psi_statistic", "categorical_drift"):
+                    setattr(out[r["column"]], k, r[k])
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from driftline.functions import semantic
 from driftline.functions.types import is_numeric, is_text, type_name
-from driftline.operators.rows import INDEX, distinct_names, indexed
+from driftline.operators.rows import INDEX, distinct_names, indexed, scratch
 
 PROFILE = "column string, type string, null_count bigint, row_count bigint, mean double, min double, max double, variance double"
 
@@ -89,14 +89,16 @@ def semantic_types(df: DataFrame, order_by: list[str] | None = None) -> dict[str
     length = df.count()
     if not length:
         return out
-    if length <= semantic.SAMPLE:  # every row is in the sample, whatever the order
-        votes = semantic_votes(df.select(*map(col, asked)).withColumn(INDEX, F.lit(0)), asked, 1)
-    else:
-        keys = [c for c in order_by or [] if c not in asked]
-        rows = indexed(df.select(*map(col, asked + keys)) if order_by else df.select(*map(col, asked)), order_by)
-        votes = semantic_votes(rows, asked, length)
+    with scratch():
+        if length <= semantic.SAMPLE:  # every row is in the sample, whatever the order
+            votes = semantic_votes(df.select(*map(col, asked)).withColumn(INDEX, F.lit(0)), asked, 1)
+        else:
+            keys = [c for c in order_by or [] if c not in asked]
+            rows = indexed(df.select(*map(col, asked + keys)) if order_by else df.select(*map(col, asked)), order_by)
+            votes = semantic_votes(rows, asked, length)
+        votes = votes.collect()
     counts: dict[str, dict[str, int]] = {}
-    for r in votes.collect():  # a few rows a column
+    for r in votes:  # a few rows a column
         counts.setdefault(r["column"], {})[r["kind"]] = r["n"]
     return out | {c: semantic.winner(c, counts.get(c, {}), sum(counts.get(c, {}).values())) for c in asked}
 

@@ -6,11 +6,15 @@ order by or the place of a row in its Parquet files. Both give a dense index wit
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,22 +23,57 @@ from driftline.errors import SchemaError
 INDEX = "__row"
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written once in the folder of spark.checkpoint.dir and read from there, so that it has one content however
-    often it is read and wherever executors are lost. Where no folder is set a temporary one of this machine serves."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="driftline-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get()
-    path = f"{folder.rstrip('/')}/rows-{uuid.uuid4().hex}"
+        if held.isDefined():
+            folder = held.get()
+        else:
+            local = tempfile.mkdtemp(prefix="driftline-")
+            atexit.register(shutil.rmtree, local, True)
+            folder = "file://" + local
+            spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+_WRITTEN: list[list[DataFrame]] = []
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read from there, so that it has one content however often it is read and
+    wherever executors are lost. The table goes by `discard`, at the end of a `scratch` block around it, or else when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/driftline-{uuid.uuid4().hex}"
     df.write.parquet(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    if _WRITTEN:
+        _WRITTEN[-1].append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialised` wrote and that nothing still to be computed reads."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.kept_at)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.delete(where, True)
+        files.cancelDeleteOnExit(where)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Around steps that bring what they find to the driver: the tables they wrote go when it ends."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        discard(*_WRITTEN.pop())
 
 
 def distinct_names(df: DataFrame) -> None:

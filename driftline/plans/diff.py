@@ -34,7 +34,8 @@ def diff_frames(source: DataFrame, target: DataFrame, source_name: str = "source
     changes = schema_drift(source.schema, target.schema)
     a, b = profiles(source, order_by), profiles(target, order_by)
     kinds = [{n: p.semantic_type for n, p in side.items()} for side in (a, b)]
-    drift = data_drift(source, target) if a and b else {}
+    stats = tuple({n: p.stats for n, p in side.items()} for side in (a, b))
+    drift = data_drift(source, target, stats) if a and b else {}
     return DiffReport(source_name, target_name, fold_renames(changes, a, b, options), semantic_drift(*kinds), drift)
 
 

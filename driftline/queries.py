@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from driftline.functions import semantic
 from driftline.operators import drift, merge, merkle, profile, rename
 from driftline.operators.rows import INDEX, indexed
-from driftline.plans import state
+from driftline.plans import config, governance, state
+from driftline.sources import readers
 
 SPLIT_TS, SPLIT_SHIP = "2024-01-15", "1998-06-01"
 
@@ -185,12 +186,41 @@ def drift_breaches(spark, d):
     return drift.breaches(drift.drift_frame(*_shifted(spark, d)), 0.05).select("column")
 
 
-@_query()
+_SIDES = "(select *, 1 as side from orders union all select o_orderkey, o_custkey, o_orderstatus, o_totalprice * 2 + 1000, o_orderdate, case when o_orderkey % 3 = 0 then '1-URGENT' else o_orderpriority end, 0 from orders) z"
+_ORDER_NUMBERS, _ORDER_TEXTS = ("o_orderkey", "o_custkey", "o_totalprice"), ("o_orderstatus", "o_orderpriority")
+_FULL = f"""
+with z as (select * from {_SIDES}),
+x as ({" union all ".join(f"select '{c}' as col, cast({c} as double) as v, side from z where {c} is not null" for c in _ORDER_NUMBERS)}),
+g as (select col, v, sum(side) as s, sum(1 - side) as t from x group by all),
+c as (select col, sum(s) over (partition by col order by v) as cs, sum(t) over (partition by col order by v) as ct, sum(s) over (partition by col) * 1.0e0 as ns, sum(t) over (partition by col) * 1.0e0 as nt from g),
+k as (select col, max(abs(cs / ns - ct / nt)) as d, any_value(ns) as ns, any_value(nt) as nt from c group by col),
+l as (select col, d, (sqrt(ns * nt / (ns + nt)) + 0.12e0 + 0.11e0 / sqrt(ns * nt / (ns + nt))) * d as y from k),
+p as ({_psi_sql(_SIDES, {c: c for c in _ORDER_NUMBERS}, "side = 1", "side = 0")}),
+w as ({" union all ".join(f"select '{c}' as col, {c} as v, side from z where {c} is not null" for c in _ORDER_TEXTS)}),
+f as (select col, v, sum(side) * 1.0e0 as s, sum(1 - side) * 1.0e0 as t from w group by all),
+h as (select col, v, s / sum(s) over (partition by col) as s, t / sum(t) over (partition by col) as t from f),
+q as (select col, round(sum((greatest(t, 1e-4) - greatest(s, 1e-4)) * ln(greatest(t, 1e-4) / greatest(s, 1e-4))), 6) as categorical_drift from h group by col),
+m as ({" union all ".join(f"select '{c}' as col, round(abs(avg({c}) filter (side = 0) - avg({c}) filter (side = 1)), 6) as mean_drift, count(*) filter (side = 0 and {c} is null) - count(*) filter (side = 1 and {c} is null) as null_count_drift from z" for c in _ORDER_NUMBERS)}
+  union all {" union all ".join(f"select '{c}', null, count(*) filter (side = 0 and {c} is null) - count(*) filter (side = 1 and {c} is null) from z" for c in (*_ORDER_TEXTS, "o_orderdate"))})
+select m.col as "column", mean_drift, null_count_drift, round(d, 6) as ks_statistic,
+  round(case when y is null then null when y <= 0 then 1.0e0 else greatest(0.0e0, least(1.0e0, 2.0e0 * list_sum(list_transform(range(1, 101), lambda i: (case when i % 2 = 1 then 1.0e0 else -1.0e0 end) * exp(-2.0e0 * (i * y) * (i * y)))))) end, 6) as ks_p_value, psi_statistic, categorical_drift
+from m left join l on l.col = m.col left join p on p."column" = m.col left join q on q.col = m.col
+"""
+
+
+@_query(_FULL)
 def full_diff_orders(spark, d):
     """Every metric of every column of orders against shifted orders."""
     return _rounded(drift.drift_frame(*_shifted(spark, d)), "mean_drift", "ks_statistic", "ks_p_value", "psi_statistic", "categorical_drift")
 
 
+@_query(_psi_sql("(select o_orderkey, o_totalprice * case when side = 1 then 1 else 1.5e0 end as price, side from (select *, row_number() over (order by o_orderkey) as i from orders), (values (1), (0)) s(side) where i <= 200) z", {"o_totalprice": "price"}, "side = 1", "side = 0"))
+def psi_of_first_samples(spark, d):
+    """The PSI of the first 200 prices, as a snapshot keeps them, against half as much again."""
+    own = state.first_samples(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), 200, ["o_orderkey"])["o_totalprice"]
+    return _rounded(spark.createDataFrame([("o_totalprice", drift.psi_of_samples(own, [v * 1.5 for v in own]))], "column string, psi_statistic double"), "psi_statistic")
+
+
 # --- meaning
 
 
@@ -230,6 +260,49 @@ def luhn_check_values(spark, d):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, _CARDS))).alias("value")).select("value", F.call_function("luhn_check", F.col("value")).alias("valid"))
 
 
+_MARKED = "select c_custkey, md5(cast(c_custkey as {t})) as h from customer"
+_SHAPES = ("concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 12))", "concat_ws(':', substr(h, 1, 4), substr(h, 5, 4), substr(h, 9, 4), substr(h, 13, 4), substr(h, 17, 4), substr(h, 21, 4), substr(h, 25, 4), substr(h, 29, 4))", "concat(substr(h, 1, 4), '::', substr(h, 5, 3))", "concat('fe80::', substr(h, 1, 4), ':192.0.2.', c_custkey % 300)", "concat_ws(':', substr(h, 1, 4), '', substr(h, 5, 4), '', substr(h, 9, 4))")
+_SHAPED = "case c_custkey % 5 " + " ".join(f"when {k} then {e}" for k, e in enumerate(_SHAPES)) + " end"
+
+
+@_query(f"""
+with m as ({_MARKED.format(t="varchar")}), w as (select {_SHAPED} as v from m)
+select case when regexp_full_match(v, '[0-9a-f]{{8}}(-[0-9a-f]{{4}}){{3}}-[0-9a-f]{{12}}') then 'UUID'
+  when regexp_full_match(v, '([0-9a-f]{{1,4}}:){{7}}[0-9a-f]{{1,4}}') or regexp_full_match(v, '[0-9a-f]{{1,4}}::[0-9a-f]{{1,4}}') then 'IPAddress'
+  when regexp_full_match(v, 'fe80::[0-9a-f]{{4}}:192[.]0[.]2[.][0-9]+') and cast(split_part(v, '.', 4) as integer) < 256 then 'IPAddress' else 'Unknown' end as kind, count(*) as n from w group by 1
+""")
+def semantic_uuid_and_ip_values(spark, d):
+    """UUIDs and IPv6 addresses made of the customers' keys, some with an IPv4 tail, some malformed."""
+    _t(spark, d, "customer").createOrReplaceTempView("customer")
+    values = spark.sql(f"with m as ({_MARKED.format(t='string')}) select {_SHAPED} as v from m")
+    return values.select(semantic.value_type(F.col("v")).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _winner_sql(value: str, kind: str) -> str:
+    """What the vote of 100 values spread over pages gives: `kind` or Unknown."""
+    test = _RE2[kind]
+    return f"(with r as (select {value} as v, row_number() over (order by page_id) - 1 as i, count(*) over () as n from pages), s as (select v from r where list_contains(list_transform(range(0, least(100, n)), lambda k: k * n // least(100, n)), i)) select case when count(*) filter (regexp_full_match(v, '{test}')) >= 0.8 * count(v) then '{kind}' else 'Unknown' end from s)"
+
+
+_MAIL = "concat('user', page_id, '@example.org')"
+
+
+@_query(f"select 'link' as \"column\", {_winner_sql('url', 'Url')} as kind union all select 'reply', {_winner_sql(_MAIL, 'Email')} union all select 'some', {_winner_sql(f'case when page_id % 2 = 0 then {_MAIL} end', 'Email')} union all select 'page_id', 'Unknown'")
+def semantic_types_pages(spark, d):
+    """The type of each column by the vote of its values, as the names tell nothing."""
+    rows = _t(spark, d, "pages").select("page_id", F.col("url").alias("link"), F.expr(_MAIL).alias("reply"), F.expr(f"case when page_id % 2 = 0 then {_MAIL} end").alias("some"))
+    return spark.createDataFrame(sorted(profile.semantic_types(rows, ["page_id"]).items()), "column string, kind string")
+
+
+@_query(f"select field_name, source_type, target_type from (select 'link' as field_name, {_winner_sql('url', 'Url')} as source_type, {_winner_sql(_MAIL, 'Email')} as target_type) where source_type <> target_type")
+def semantic_drift_pages(spark, d):
+    """A column of links that becomes one of addresses."""
+    old = _t(spark, d, "pages").select("page_id", F.col("url").alias("link"))
+    new = _t(spark, d, "pages").select("page_id", F.expr(_MAIL).alias("link"))
+    found = drift.semantic_drift(*(profile.semantic_types(x, ["page_id"]) for x in (old, new)))
+    return spark.createDataFrame([(x.field_name, x.source_type, x.target_type) for x in found], "field_name string, source_type string, target_type string")
+
+
 # --- renames and merges
 
 
@@ -260,6 +333,37 @@ def merge_schemas(spark, d):
     return spark.createDataFrame([(f["name"], f["data_type"], f["nullable"], kinds.get(f["name"])) for f in state.schema_to(result.merged)], "name string, type string, nullable boolean, conflict string")
 
 
+_TYPE_SQL = "case column_type when 'BIGINT' then 'Int64' when 'INTEGER' then 'Int32' when 'DOUBLE' then 'Float64' when 'FLOAT' then 'Float32' when 'VARCHAR' then 'Utf8' when 'TIMESTAMP' then 'Timestamp(Microsecond, None)' end"
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@_query(" union all ".join(f"select '{t}' as \"table\", column_name as name, {_TYPE_SQL} as type from (describe {t})" for t in _TABLES))
+def schemas_kept_and_restored(spark, d):
+    """Every table's schema as a snapshot keeps it, read back."""
+    return spark.createDataFrame([(t, f["name"], f["data_type"]) for t in _TABLES for f in state.schema_to(state.schema_from(state.schema_to(_t(spark, d, t).schema)))], "table string, name string, type string")
+
+
+_CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@_query(" union all ".join(f"select '{c}' as \"column\", (select {_TYPE_SQL} from (describe customer) where column_name = '{c}') as type, count(*) as row_count, count(*) - count({c}) as null_count, " + (f"round(avg({c}), 6) as mean, least(100, count({c}))" if c not in ("c_name", "c_mktsegment") else "cast(null as double) as mean, 0") + " as samples from customer" for c in _CUSTOMER))
+def snapshot_customer(spark, d):
+    """What a snapshot of customer keeps: types, statistics and the number of samples."""
+    kept = state.capture(readers.FileSource(spark, d), "customer.parquet", 100)
+    rows = [(f["name"], f["data_type"], kept.column_stats[f["name"]].row_count, kept.column_stats[f["name"]].null_count, kept.column_stats[f["name"]].mean, len((kept.samples or {}).get(f["name"], []))) for f in kept.schema]
+    return _rounded(spark.createDataFrame(rows, "column string, type string, row_count bigint, null_count bigint, mean double, samples bigint"), "mean")
+
+
+@_query("select lower(r_name) as name, case when r_regionkey % 2 = 0 then concat('http://', r_regionkey) end as endpoint, case when r_regionkey % 2 = 0 then 2 else 0 end as operators, count(n_nationkey) as targets, r_regionkey % 2 = 0 as declared from region left join nation on n_regionkey = r_regionkey group by r_name, r_regionkey having r_regionkey % 2 = 0 or count(n_nationkey) > 0")
+def domains_of_nations(spark, d):
+    """Every nation a target of its region's domain; each second domain is declared."""
+    regions = {r.r_regionkey: r.r_name for r in _t(spark, d, "region").collect()}
+    targets = {r.n_name: config.Target("files", r.n_name, domain=regions[r.n_regionkey]) for r in _t(spark, d, "nation").collect()}
+    declared = {n.lower(): config.Domain(("a", "b"), f"http://{k}") for k, n in regions.items() if k % 2 == 0}
+    found = governance.list_domains(config.Config("nations", "1", 0.2, targets=targets, domains=declared))
+    return spark.createDataFrame([(x.name.lower(), x.endpoint, x.operator_count, x.target_count, x.has_domain_entry) for x in found], "name string, endpoint string, operators int, targets bigint, declared boolean")
+
+
 # --- commitments
 
 
@@ -300,19 +404,27 @@ def merkle_root_customer(spark, d):
     return _root(spark, merkle.MerkleTree.of(_t(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), ["c_custkey"]))
 
 
+_STAMP = "strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S')"
+
+
+@_query(_root_sql(f"select row_number() over (order by o_orderkey) - 1 as idx, {_leaf_sql('o_orderkey', 'o_custkey', 'nullif(o_orderstatus, $$O$$)', 'o_totalprice', _STAMP, 'o_orderpriority', 'cast(o_orderdate as date)')} as hash from orders"))
+def merkle_root_orders(spark, d):
+    """The root over all orders: doubles, timestamps, dates and nulls."""
+    orders = _t(spark, d, "orders").withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("O"))).withColumn("day", F.to_date("o_orderdate"))
+    return _root(spark, merkle.MerkleTree.of(orders, ["o_orderkey"]))
+
+
+@_query(_root_sql(f"select row_number() over (order by c_custkey) - 1 as idx, {_leaf_sql(*_CUSTOMER)} as hash from customer"))
+def merkle_root_whole_customer(spark, d):
+    return _root(spark, merkle.MerkleTree.of(_t(spark, d, "customer"), ["c_custkey"]))
+
+
 @_query()
 def merkle_root_lineitem(spark, d):
     """The root over all rows of lineitem in file order."""
     return _root(spark, merkle.MerkleTree.of(_t(spark, d, "lineitem")))
 
 
-@_query("select * from (values (0, 0, true), (12, 12, true), (24, 24, true)) t(leaf_index, idx, verified)")
-def merkle_proofs_nation(spark, d):
-    tree = merkle.MerkleTree.of(_t(spark, d, "nation"), ["n_nationkey"])
-    found = [(p.leaf_index, i, merkle.verify_proof(tree.root, leaf, p)) for i, (leaf, p) in zip((0, 12, 24), tree.proofs([0, 12, 24]), strict=True)]
-    return spark.createDataFrame(found, "leaf_index int, idx int, verified boolean")
-
-
 @_query("select idx from (select row_number() over (order by n_nationkey) - 1 as idx, n_nationkey from nation) where n_nationkey % 7 = 3")
 def reconcile_divergent_rows(spark, d):
     nation = _t(spark, d, "nation")
@@ -320,11 +432,6 @@ def reconcile_divergent_rows(spark, d):
     return merkle.divergent_rows(merkle.MerkleTree.of(nation, ["n_nationkey"]), merkle.MerkleTree.of(other, ["n_nationkey"]))
 
 
-@_query("select idx, o_orderkey from (select row_number() over (order by o_orderkey) - 1 as idx, o_orderkey from orders) where idx % 1000 = 0")
-def row_index_orders(spark, d):
-    return indexed(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).where(F.col(INDEX) % 1000 == 0).select(F.col(INDEX).alias("idx"), "o_orderkey")
-
-
 @_query("select row_number() over (order by o_orderkey) - 1 as idx, o_orderkey from orders")
 def row_index_every_order(spark, d):
     return indexed(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select(F.col(INDEX).alias("idx"), "o_orderkey")

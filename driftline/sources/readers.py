@@ -61,14 +61,17 @@ class FileSource:
     def _parquet(self, path: str) -> DataFrame:
         return self.spark.read.parquet(path)
 
-    def _head(self, path: str) -> list[str]:
-        return [r[0] for r in self.spark.read.text(path).limit(SNIFFED + 1).collect()]
-
     def _csv(self, path: str) -> DataFrame:
-        """Types from the first records; later records that contradict them are errors."""
-        head = self.spark.read.text(path).limit(SNIFFED + 1).select("value")
-        sample = self.spark.read.csv(head.rdd.map(lambda r: r[0]), header=True, inferSchema=True)
-        return self.spark.read.csv(path, header=True, schema=_widened(sample.schema), mode="FAILFAST", enforceSchema=False)
+        """Types from the first records; later records that contradict them are errors. A file in which a line ends within quotes is read record by
+        record and not split; all others, which one pass over their lines tells, are."""
+        text = self.spark.read.text(path)
+        broken = not text.where((F.length("value") - F.length(F.replace("value", F.lit('"')))) % 2 == 1).isEmpty()
+        plain = self.spark.read.csv(path, header=True, multiLine=broken).limit(SNIFFED)
+        lines = plain.select(F.to_csv(F.struct(*[F.regexp_replace(F.col(f"`{c}`"), r"[\r\n]", " ").alias(f"c{k}") for k, c in enumerate(plain.columns)])).alias("value"))
+        sample = self.spark.read.csv(lines.rdd.map(lambda r: r[0]), inferSchema=True) if plain.columns else plain  # SNIFFED lines at most
+        kinds = [f.dataType for f in sample.schema.fields] + [T.StringType()] * len(plain.columns)
+        schema = T.StructType([T.StructField(c, kind) for c, kind in zip(plain.columns, kinds, strict=False)])
+        return self.spark.read.csv(path, header=True, schema=_widened(schema), mode="FAILFAST", enforceSchema=False, multiLine=broken)
 
     def _json(self, path: str) -> DataFrame:
         """A file whose first character is [ is one array of records, any other a record a line."""

@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from driftline.operators.drift import breaches, drift_frame
+from driftline.operators.rows import scratch
 
 
 def watch(stream: DataFrame, baseline: DataFrame, threshold: float, found: Callable[[int, list[str]], None]) -> DataStreamWriter:
     """A writer to start: `found` gets each batch's number and the columns over the threshold, if there are any."""
 
     def compare(batch: DataFrame, number: int) -> None:
-        over = sorted(r["column"] for r in breaches(drift_frame(baseline, batch), threshold).select("column").collect())
+        with scratch():
+            over = sorted(r["column"] for r in breaches(drift_frame(baseline, batch), threshold).select("column").collect())
         if over:
             found(number, over)
 

@@ -82,6 +82,13 @@ def test_json(spark, tmp_path, text, rows):
     assert s.FileSource(spark, str(tmp_path)).data("x.json").count() == rows
 
 
+def test_csv_with_a_line_end_within_quotes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('id,note,amount\n1,"two\nlines",2.5\n2,plain,3\n')
+    df = s.FileSource(spark, str(tmp_path)).data("a.csv")
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema] == [("id", "bigint"), ("note", "string"), ("amount", "double")]
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "two\nlines", 2.5), (2, "plain", 3.0)]
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "x.csv").write_text("id,name,score\n1,a,1.5\n2,b,2\n")
     df = s.FileSource(spark, str(tmp_path)).data("x.csv")

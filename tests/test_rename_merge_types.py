@@ -114,3 +114,24 @@ def test_types_refused(name):
 
 def test_postgres_types():
     assert [postgres_type(*x) for x in (("integer",), ("numeric", 10, 2), ("numeric",), ("numeric", 50, 2), ("jsonb",), ("uuid",), ("timestamptz",))] == ["Int32", "Decimal128(10, 2)", "Float64", "Float64", "Utf8", "Utf8", 'Timestamp(Nanosecond, Some("+00:00"))']
+
+
+def test_assignment_against_every_permutation_and_in_time():
+    import itertools
+    import random
+    import time
+
+    from driftline.operators.rename import best_assignment
+
+    r = random.Random(1)
+    for _ in range(300):
+        n, m = r.randint(0, 5), r.randint(0, 5)
+        gain = [[r.choice((0.0, round(r.random(), 1), -0.5)) for _ in range(m)] for _ in range(n)]
+        out = best_assignment(gain)
+        used = [j for j in out if j is not None]
+        assert len(used) == len(set(used))
+        most = max(sum(gain[i][j] for i, j in enumerate(p) if j is not None and gain[i][j] > 0) for p in itertools.permutations([*range(m), *[None] * n], n))
+        assert abs(sum(gain[i][j] for i, j in enumerate(out) if j is not None) - most) < 1e-9
+    begin = time.process_time()
+    best_assignment([[r.random() for _ in range(300)] for _ in range(300)])
+    assert time.process_time() - begin < 5
