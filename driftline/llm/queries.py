@@ -70,7 +70,8 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from driftline.llm.pii import pseudonymised
 
-    return pseudonymised(_table(spark, sf_dir, "documents"), key="the user's own key goes here")
+    key = spark.conf.get("spark.driftline.pseudonym.key", "the user's own key goes here")  # one of your own makes pseudonyms secret
+    return pseudonymised(_table(spark, sf_dir, "documents"), key=key)
 
 
 def queries() -> dict:

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,49 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.operators.rows import discard
+from driftline.operators.rows import materialised as durable
+
+__all__ = ["discard", "durable"]
+
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
 _C2 = np.uint64(0x94D049BB133111EB)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            folder = current.get()
-        else:
-            local = tempfile.mkdtemp(prefix="driftline-")
-            atexit.register(shutil.rmtree, local, True)
-            folder = "file://" + local
-            spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Writes df as a table in the shared folder and returns that table: later stages never recompute what
-    came before, and a lost executor takes nothing with it. The table goes when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/driftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that `durable` wrote and that nothing still to be computed reads."""
-    for table in tables:
-        jvm, spark = table.sparkSession._jvm, table.sparkSession
-        where = jvm.org.apache.hadoop.fs.Path(table.kept_at)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of what is written as a table and done with: it does so once the driver has no reference to it any more."""
     gc.collect()
