@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.llm import decontam, neardup, packing, quality, secrets
-from driftline.llm.shared import durable
+from driftline.llm.shared import discard, durable
 
 #: A document is rejected if its chance of good quality is below this.
 QUALITY = 0.3
@@ -65,7 +65,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
         docs = durable(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        discard(*last)
+        last = [docs]
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    discard(*last)  # packing has cut all texts into a table of its own by now
+    return packed
