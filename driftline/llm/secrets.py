@@ -170,7 +170,7 @@ def learn(spark: SparkSession, labelled: DataFrame | None = None) -> Forest:
         text = json.dumps(labelled_findings() + labelled_values())
         labelled = spark.range(1).select(F.explode(F.from_json(F.lit(text), "array<struct<value string, before string, after string, secret boolean>>")).alias("x")).select("x.*")
     rows = labelled.where("value is not null and secret is not null").select(F.col("secret").cast("int").alias("y"), *[c.alias(k) for c, k in zip(numbers(F.col("value"), F.coalesce("before", F.lit("")), F.coalesce("after", F.lit(""))), FEATURES, strict=True)])
-    rows = np.array(sorted(map(tuple, rows.limit(MAX_LABELLED).collect())), np.float64).reshape(-1, len(FEATURES) + 1)
+    rows = np.array(sorted(map(tuple, rows.orderBy(F.xxhash64(*rows.columns)).limit(MAX_LABELLED).collect())), np.float64).reshape(-1, len(FEATURES) + 1)
     return Forest(rows[:, 1:], rows[:, 0])
 
 
