@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.shared import components, discard, durable, lower_words, mix, seeded, shingle_hashes, slices, texts_of, word_hashes
+from driftline.llm.shared import components, discard, durable, lower_words, mix, release, seeded, shingle_hashes, slices, texts_of, word_hashes
 
 COORDS, BAND_ROWS = 96, 4
 _LOW, _HIGH, _FULL = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
     members = durable(members.where((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent))  # the others can't have a link
     discard(found)
     step = 0
+    release(docs.sparkSession)
     while not members.isEmpty():
         slot = F.pmod(F.xxhash64("id"), F.lit(1 << min(4 * step, 20)))
         pivots = durable(members.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("own", "id", "size", "component", *_BIT_COLUMNS, "keys")).alias("p")).select("key", "p.*"))
@@ -200,6 +201,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, coords: int
         open_ = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
         before, members, step = members, durable(rest.join(open_, "key")), step + 1
         discard(before, pivots, pairs, links)
+        release(docs.sparkSession)
     discard(members, known, bodies, classes)
 
     final = named.join(labels.withColumnRenamed("node", "id"), "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "id")).alias("component"))
