@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from driftline.llm.native import found_in, rebuilt
 
 _NAMED = r"(?i:token|secret|passwo?r?d|pwd|api[_ \-]?key|access[_ \-]?key|private[_ \-]?key|credentials?)"
-#: A quoted value that is given to a hint word; a run of 16 characters or more that holds a digit; what has an issuer's prefix; a value
+#: A quoted value that is given to a hint word; the password in a URL; a run of 16 characters or more that holds a digit; what has an issuer's prefix; a value
 #: without quotes that is given to a hint word; the head of a private key.
 CANDIDATE = (
     rf"(?<=[:=] ?[\"'`])(?<={_NAMED}[A-Za-z0-9_]{{0,8}}[\"']? ?[:=] ?[\"'`])[^\s\"'`]{{6,200}}(?=[\"'`])"
+    r"|(?<=:)(?<=://[^\s/:@]{1,64}:)[^\s/:@]{3,200}(?=@[A-Za-z0-9])"
     r"|(?<![A-Za-z0-9_+/\-])(?:(?=[A-Za-z_+/\-]{0,200}[0-9])[A-Za-z0-9_+/\-]{16,}+={0,2}|(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9\-]{10,}|sk_live_[A-Za-z0-9]{16,})"
     rf"|(?<=[:=] ?)(?<={_NAMED}[A-Za-z0-9_]{{0,8}}[\"']? ?[:=] ?)[^\s\"'`,;<>:=]{{6,200}}"
     r"|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
@@ -40,7 +41,7 @@ WORDS = ("example", "sample", "dummy", "test", "your", "here", "token", "secret"
 HINTS = "token|secret|passw|pwd|api[_ -]?key|access[_ -]?key|private[_ -]?key|credential|bearer|auth|client[_ -]?secret"
 DOUBTS = "example|sample|dummy|placeholder|commit|checksum|sha-?(1|256|512)|md5|uuid|guid|hash|digest|revision|isbn|invoice|order|phone|card|id[ :=#]*$"
 KINDS = (("private_key", r"^-----BEGIN"), ("aws_key_id", r"^(AKIA|ASIA)[A-Z0-9]{16}$"), ("github_token", r"^gh[pousr]_[A-Za-z0-9]{30,}$"), ("slack_token", r"^xox[abprs]-"), ("hex_token", r"^([0-9a-f]{32,}|[0-9A-F]{32,})$"))
-FEATURES = ("length", "digits", "upper", "lower", "marks", "turns", "hex", "distinct", "vowel_turns", "dictionary", "slashes", "after_slash", "hint", "doubt", "quoted", "assigned", "prefix")
+FEATURES = ("length", "digits", "upper", "lower", "marks", "turns", "hex", "distinct", "vowel_turns", "dictionary", "slashes", "after_slash", "hint", "doubt", "quoted", "assigned", "prefix", "in_url")
 
 
 def numbers(value: Column, before: Column, after: Column) -> list[Column]:
@@ -62,6 +63,7 @@ def numbers(value: Column, before: Column, after: Column) -> list[Column]:
         (n - covered) / n, share("/"), flag(before.rlike(r"[/.@:]$") & ~before.rlike(r"[:=]\s*$")),
         flag(F.lower(before).rlike(f"({HINTS})\\S{{0,12}}\\W{{0,6}}$")), flag(F.lower(F.concat(before, F.lit(" "), F.substring(after, 1, 24))).rlike(DOUBTS)),
         flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")), flag(before.rlike("[:=]\\s*[\"'`]?$")), flag(value.rlike("^(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live|eyJ|-----BEGIN)")),
+        flag(before.rlike("://[^\\s/:@]+:$") & after.rlike("^@")),
     ]
 
 
@@ -146,7 +148,7 @@ def labelled_findings(n: int = 1500, seed: int = 5) -> list[dict]:
     return out
 
 
-def labelled_values(n: int = 800, seed: int = 6) -> list[dict]:
+def labelled_values(n: int = 1200, seed: int = 6) -> list[dict]:
     """Made-up short values behind a hint word: passwords, and words, placeholders and code that aren't any."""
     r = random.Random(seed)
     marks, alnum = "!@#$%^&*?.-_+", string.ascii_letters + string.digits
@@ -159,6 +161,17 @@ def labelled_values(n: int = 800, seed: int = 6) -> list[dict]:
             value = ("".join(r.choice(alnum + marks * 2) for _ in range(k - 3)) + r.choice(string.digits) + r.choice(marks) + r.choice(string.ascii_uppercase), "".join(r.choice(alnum) for _ in range(k)), word(r.randint(5, 9)).capitalize() + r.choice(marks) + str(r.randint(10, 9999)) + r.choice(("", "!", "#")))[r.randrange(3)]
         else:
             value = (word(r.randint(6, 14)), "your_" + r.choice(("password", "token", "secret")), "<" + r.choice(WORDS) + "_here>", "${" + r.choice(WORDS).upper() + "_" + word(4).upper() + "}", "os.environ[" + word(5) + "]", word(5) + "." + word(6) + "()", "x" * r.randint(6, 12), "*" * r.randint(6, 12), r.choice(WORDS) + "_" + r.choice(WORDS), word(7) + ".")[r.randrange(10)]
+        if i % 12 < 4:  # in a URL; there, whatever isn't a placeholder is one
+            if good and r.random() < 0.7:
+                value = word(r.randint(5, 14))
+            elif not good:
+                value = r.choice(("password", "your_password", "<password>", "${PASSWORD}", "xxxxxx", "******", "example", "pass_here", "{password}", "secret"))
+            before = word(5) + " " + r.choice(("mongodb", "postgres", "https", "mysql", "redis", "amqp", "ftp")) + "://" + r.choice(("admin", "root", word(5))) + ":"
+            out.append({"value": value, "before": before[-NEAR:], "after": "@" + word(6) + r.choice((".example", ":5432/", "/")) + word(5), "secret": good})
+            continue
+        if good and r.random() < 0.25:  # words run together
+            value = "".join(word(r.randint(3, 7)).capitalize() for _ in range(r.randint(3, 5)))
+            value = value[0].lower() + value[1:] if r.random() < 0.5 else value
         quote = r.choice(("\"", "'", ""))
         before = word(6) + " " + r.choice(("password", "passwd", "pwd", "secret", "token", "api_key", "PASSWORD", "db_password")) + r.choice((" = ", "=", ": ")) + quote
         out.append({"value": value, "before": before[-NEAR:], "after": quote + r.choice((" ", "\n", "")) + word(5), "secret": good})
