@@ -108,3 +108,25 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in root)
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_few_links_are_joined_in_one_task_and_as_many_links_are(spark, monkeypatch):
+    import random
+
+    from driftline.llm import shared
+
+    r = random.Random(3)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(r.randint(0, 90), r.randint(0, 90)) for _ in range(60)] + [(-5, 7), (7, -5), (8, 8)]
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+
+    def run(group):
+        spark.sparkContext.setJobGroup(group, group)
+        rows = sorted(map(tuple, shared.components(table).collect()))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return rows, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    few, jobs = run("few links")
+    monkeypatch.setattr(shared, "FEW", 0)
+    many, more = run("many links")
+    assert few == many and len(few) == len({x for a, b in edges if a != b for x in (a, b)})
+    assert jobs <= 6 < more
